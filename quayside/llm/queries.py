@@ -5,24 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, sharding
+from . import compression, decontamination, jaccard_join, mixing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document, with its best test item."""
+    found = decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.max(F.struct("score", (-F.col("item_id")).alias("low_id"), "first_word", "end_word"))
+    found = found.groupBy("doc_id").agg(best.alias("b"), F.countDistinct("item_id").alias("n_items"))
+    return found.select("doc_id", (-F.col("b.low_id")).alias("item_id"), F.round("b.score", 6).alias("score"), F.col("b.first_word").alias("first_word"), F.col("b.end_word").alias("end_word"), "n_items")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compression_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op7_jaccard_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_sharding, op5_decontamination, op7_jaccard_join, op9_compression, op10_mixing)}
 ORACLES: dict[str, str] = {}
