@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compression, decontamination, jaccard_join, mixing, pii, quality, secrets, sharding
+from . import chat, compression, decontamination, html_template, jaccard_join, mixing, pii, quality, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op2_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract_articles(table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,5 +60,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_quality, op4_sharding, op5_decontamination, op6_chat, op7_jaccard_join, op8_secrets, op9_compression, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_html_template, op3_quality, op4_sharding, op5_decontamination, op6_chat, op7_jaccard_join, op8_secrets, op9_compression, op10_mixing)}
 ORACLES: dict[str, str] = {}
