@@ -12,9 +12,9 @@ those with at most c shingles, where c is the largest value for which that
 drops no more than s; of the s+1 agreeing blocks one is therefore sent by
 both sides. No link is lost.
 
-Candidates of a block are first paired with the block's least document. What
-stays in different components is then paired across components. Pairs pass
-size and Hamming bounds and are verified on the whole shingle arrays.
+Members of a block are compared with its leader, and with each other only if
+their differences from the leader have enough in common. Pairs pass size and
+Hamming bounds and are verified on the whole shingle arrays.
 """
 
 from __future__ import annotations
@@ -177,23 +177,88 @@ def _set_rows(n: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    light = sets.select("node", F.size("shingles").alias("n"), "marks")
-    full = sets.select("node", "shingles")
-
-    def side(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-        return df.join(other.select(F.col("node").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in other.columns[1:]]), key)
-
-    near = side(side(pairs, light, "a"), light, "b")
-    apart = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    near = near.where((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)))
-    both = side(side(near.select("a", "b"), full, "a"), full, "b")
-    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return both.withColumn("common", shared).where(F.col("common") * den >= num * (F.size("shingles_a") + F.size("shingles_b") - F.col("common"))).select("a", "b")
+def _side(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    return df.join(other.select(F.col("node").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in other.columns[1:]]), key)
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, reach: int = 1) -> DataFrame:
+    """Pairs (a, b) with sizes n_a, n_b, their symmetric difference `apart` and
+    `linked`. Pairs whose sketches or sizes already show more than `reach` times
+    the difference of linked sets of up to twice n_a shingles come without an
+    exact figure: apart is null, linked false."""
+    light = sets.select("node", F.size("shingles").alias("n"), "marks")
+    full = sets.select("node", "shingles")
+    near = _side(_side(pairs, light, "a"), light, "b")
+    flipped = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    bound = reach * F.floor(4 * F.col("n_a") * (den - num) / (den + num)) if reach > 1 else F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
+    near = near.withColumn("open", (flipped <= bound) & (F.abs(F.col("n_a") - F.col("n_b")) <= bound)).drop("marks_a", "marks_b")
+    far = near.where("NOT open").select("a", "b", "n_a", "n_b", F.lit(None).cast("long").alias("apart"), F.lit(False).alias("linked"))
+    both = _side(_side(near.where("open").drop("open"), full, "a"), full, "b").withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
+    exact = both.select("a", "b", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("apart"), (F.col("common") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("linked"))
+    return exact.unionByName(far) if reach > 1 else exact
+
+
+def _delta_pairs(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of members around one leader that may be linked though not both
+    are linked to it. Members are written as differences from the leader, for
+    which |x ^ y| = |dx| + |dy| - 2 |dx & dy|: a link needs at least t common
+    elements of dx and dy, so their t-prefixes in order of rarity meet."""
+    def width(n):  # largest difference from any partner of a set of n
+        return F.floor((n + F.floor(n * den / num)) * (den - num) / (den + num))
+
+    d, n = F.col("apart"), F.col("n_b")
+    least_out = F.floor((F.ceil(n * num / den) + F.col("n_a")) * (den - num) / (den + num)) + 1  # of an unlinked partner
+    t = F.greatest(F.lit(1), F.when(F.col("linked"), F.ceil((d + least_out - width(n)) / 2)).otherwise(d - width(n)))
+    open_ = stars.groupBy("a").agg(F.count("*").alias("members"), F.max((~F.col("linked")).cast("int")).alias("out")).where("members > 1 AND out = 1").select("a")
+    held = stars.where("apart > 0").join(open_, "a", "left_semi").withColumn("take", (d - t + 1).cast("int")).where("take > 0").select("a", "b", "linked", "take")
+    full = sets.select("node", "shingles")
+    both = _side(_side(held, full, "a"), full, "b")
+    delta = F.concat(F.array_except("shingles_b", "shingles_a"), F.array_except("shingles_a", "shingles_b"))
+    rows = materialize(both.select("a", "b", "linked", "take", F.explode(delta).alias("e")), "deltas")
+    found = rows.groupBy("a", "e").agg(F.count("*").alias("found")).where("found > 1")
+    # elements of one member alone come first and meet no other: only their number counts
+    shared = rows.join(found, ["a", "e"])
+    alone = rows.groupBy("a", "b").agg(F.count("*").alias("all"))
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("found", "e"))
+    counted = shared.withColumns({"rank": rank, "own": F.count("*").over(Window.partitionBy("a", "b"))}).join(alone, ["a", "b"])
+    prefix = counted.where(F.col("all") - F.col("own") + F.col("rank") <= F.col("take")).select("a", "e", "b", "linked")
+    x, y = (prefix.select("a", "e", F.col("b").alias(f"b{i}"), F.col("linked").alias(f"linked{i}")) for i in (1, 2))
+    return x.join(y, ["a", "e"]).where("b1 < b2 AND NOT (linked1 AND linked2)").select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
+
+
+def _links(blocks: DataFrame, sets: DataFrame, num: int, den: int, rounds: int) -> DataFrame:
+    """Every link among nodes that share a block, or enough links to connect
+    what is linked. blocks: (sig, rep).
+
+    In a round each block is led by the member that shares most blocks with
+    others. With D the largest difference of linked sets around a leader,
+    members within 2D of it are compared by their differences from it, those
+    beyond D go on to the next round: a pair that neither covers is more than
+    D apart. After the last round what remains in a block is paired.
+    """
+    found = None
+    for _ in range(rounds):
+        sized = blocks.join(blocks.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig")
+        rated = sized.groupBy("rep").agg(F.sum("c").alias("popular"))
+        lead = blocks.join(rated, "rep").groupBy("sig").agg(F.max(F.struct("popular", (-F.col("rep")).alias("low"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("sig", (-F.col("m.low")).alias("leader"))
+        led = materialize(blocks.join(lead, "sig").where("rep <> leader"), "led")
+        stars = materialize(_measured(led.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), sets, num, den, reach=2), "stars")
+        own = stars.where("linked").select("a", "b")
+        inner = _measured(_delta_pairs(stars.where("apart IS NOT NULL"), sets, num, den), sets, num, den).where("linked").select("a", "b")
+        links = materialize(own.unionByName(inner), "links")
+        found = links if found is None else found.unionByName(links)
+        radius = F.floor(4 * F.col("n_a") * (den - num) / (den + num))
+        far = stars.where(F.col("apart").isNull() | (F.col("apart") > radius)).select(F.col("a").alias("leader"), F.col("b").alias("rep"))
+        left = led.join(far, ["leader", "rep"], "left_semi").select("sig", "rep")
+        blocks = materialize(left.join(left.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig", "left_semi"), "blocks")
+        if blocks.isEmpty():
+            return found
+    x, y = (blocks.select("sig", F.col("rep").alias(p)) for p in "ab")
+    rest = x.join(y, "sig").where("a < b").select("a", "b").distinct()
+    return found.unionByName(_measured(rest, sets, num, den).where("linked").select("a", "b"))
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs: links join texts
     whose shingle sets have intersection * den >= num * union.
 
@@ -211,23 +276,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     # copies collapse before anything is compared
     classes = filled.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
     w = Window.partitionBy("sig").orderBy("rep")
-    sent = classes.select("rep", F.explode("sigs").alias("sig")).withColumns({"leader": F.first("rep").over(w), "next": F.lead("rep").over(w)})
-    shared = materialize(sent.where("rep <> leader or next <> rep").select("sig", "rep", "leader"), "blocks")
+    sent = classes.select("rep", F.explode("sigs").alias("sig")).withColumns({"before": F.lag("rep").over(w), "next": F.lead("rep").over(w)})
+    shared = materialize(sent.where("before <> rep or next <> rep").select("sig", "rep"), "blocks")
 
     ids = materialize(shared.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = materialize(own.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(shingle), "node long, marks array<long>, shingles array<long>").dropDuplicates(["node"]), "shingles")
 
-    stars = shared.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(_verified(stars, sets, num, den), "links")
-    first = connected_components(links)
-    held = materialize(shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("c")), "held")
-    mixed = held.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    open_ = held.join(mixed, "sig", "left_semi")
-    x, y = (open_.select("sig", F.col("rep").alias(p), F.col("c").alias(f"c{p}")) for p in "ab")
-    rest = x.join(y, "sig").where("ca <> cb and a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialize(_verified(rest, sets, num, den), "links")
-    comps = connected_components(links.unionByName(more))
+    comps = connected_components(_links(shared, sets, num, den, rounds))
 
     named = filled.select("doc_id", *key).join(reps, key).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return named.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
