@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quayside.plans import market
+
+QUERIES = {**market.QUERIES}
+ORACLES = {**market.ORACLES}
