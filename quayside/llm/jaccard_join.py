@@ -32,6 +32,8 @@ from .common import connected_components, materialize
 #: Above this many ids the text scan is joined, not filtered by a broadcast set.
 BROADCAST_IDS = 4_000_000
 SKETCH_WORDS = 16  # 1,024 parity cells for the Hamming bound
+#: Around a leader, up to so many members are simply paired.
+SMALL = 16
 CACHE = 500_000
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -209,8 +211,15 @@ def _delta_pairs(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     d, n = F.col("apart"), F.col("n_b")
     least_out = F.floor((F.ceil(n * num / den) + F.col("n_a")) * (den - num) / (den + num)) + 1  # of an unlinked partner
     t = F.greatest(F.lit(1), F.when(F.col("linked"), F.ceil((d + least_out - width(n)) / 2)).otherwise(d - width(n)))
-    open_ = stars.groupBy("a").agg(F.count("*").alias("members"), F.max((~F.col("linked")).cast("int")).alias("out")).where("members > 1 AND out = 1").select("a")
-    held = stars.where("apart > 0").join(open_, "a", "left_semi").withColumn("take", (d - t + 1).cast("int")).where("take > 0").select("a", "b", "linked", "take")
+    open_ = stars.groupBy("a").agg(F.count("*").alias("members"), F.max((~F.col("linked")).cast("int")).alias("out")).where("members > 1 AND out = 1").select("a", (F.col("members") > SMALL).alias("large"))
+    grouped = materialize(stars.where("apart > 0").join(open_, "a"), "groups")
+
+    def met(rows: DataFrame, on: list[str]) -> DataFrame:
+        x, y = (rows.select(*on, F.col("b").alias(f"b{i}"), F.col("linked").alias(f"linked{i}")) for i in (1, 2))
+        return x.join(y, on).where("b1 < b2 AND NOT (linked1 AND linked2)").select(F.col("b1").alias("a"), F.col("b2").alias("b"))
+
+    few = met(grouped.where("NOT large"), ["a"])  # at most SMALL / 2 pairs a member
+    held = grouped.where("large").withColumn("take", (d - t + 1).cast("int")).where("take > 0").select("a", "b", "linked", "take")
     full = sets.select("node", "shingles")
     both = _side(_side(held, full, "a"), full, "b")
     delta = F.concat(F.array_except("shingles_b", "shingles_a"), F.array_except("shingles_a", "shingles_b"))
@@ -222,8 +231,7 @@ def _delta_pairs(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("found", "e"))
     counted = shared.withColumns({"rank": rank, "own": F.count("*").over(Window.partitionBy("a", "b"))}).join(alone, ["a", "b"])
     prefix = counted.where(F.col("all") - F.col("own") + F.col("rank") <= F.col("take")).select("a", "e", "b", "linked")
-    x, y = (prefix.select("a", "e", F.col("b").alias(f"b{i}"), F.col("linked").alias(f"linked{i}")) for i in (1, 2))
-    return x.join(y, ["a", "e"]).where("b1 < b2 AND NOT (linked1 AND linked2)").select(F.col("b1").alias("a"), F.col("b2").alias("b")).distinct()
+    return met(prefix, ["a", "e"]).unionByName(few).distinct()
 
 
 def _links(blocks: DataFrame, sets: DataFrame, num: int, den: int, rounds: int) -> DataFrame:
