@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayside.plans import market
+from quayside.plans import facts
 
-QUERIES = {**market.QUERIES}
-ORACLES = {**market.ORACLES}
+QUERIES = {**facts.QUERIES}
+ORACLES = {**facts.ORACLES}
