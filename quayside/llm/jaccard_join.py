@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, release
 
 #: Above this many ids the text scan is joined, not filtered by a broadcast set.
 BROADCAST_IDS = 4_000_000
@@ -183,17 +183,24 @@ def _side(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(F.col("node").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in other.columns[1:]]), key)
 
 
+def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The shingles of nodes in pairs (a, b)."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    return sets.select("node", "shingles").join(_held(ids), "node", "left_semi")
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, reach: int = 1) -> DataFrame:
     """Pairs (a, b) with sizes n_a, n_b, their symmetric difference `apart` and
     `linked`. Pairs whose sketches or sizes already show more than `reach` times
     the difference of linked sets of up to twice n_a shingles come without an
     exact figure: apart is null, linked false."""
     light = sets.select("node", F.size("shingles").alias("n"), "marks")
-    full = sets.select("node", "shingles")
     near = _side(_side(pairs, light, "a"), light, "b")
     flipped = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     bound = reach * F.floor(4 * F.col("n_a") * (den - num) / (den + num)) if reach > 1 else F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
     near = near.withColumn("open", (flipped <= bound) & (F.abs(F.col("n_a") - F.col("n_b")) <= bound)).drop("marks_a", "marks_b")
+    near = materialize(near if reach > 1 else near.where("open"), "near")
+    full = _needed(near.where("open"), sets)
     far = near.where("NOT open").select("a", "b", "n_a", "n_b", F.lit(None).cast("long").alias("apart"), F.lit(False).alias("linked"))
     both = _side(_side(near.where("open").drop("open"), full, "a"), full, "b").withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
     exact = both.select("a", "b", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("apart"), (F.col("common") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("linked"))
@@ -220,7 +227,8 @@ def _delta_pairs(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
     few = met(grouped.where("NOT large"), ["a"])  # at most SMALL / 2 pairs a member
     held = grouped.where("large").withColumn("take", (d - t + 1).cast("int")).where("take > 0").select("a", "b", "linked", "take")
-    full = sets.select("node", "shingles")
+    held = materialize(held, "held")
+    full = _needed(held, sets)
     both = _side(_side(held, full, "a"), full, "b")
     delta = F.concat(F.array_except("shingles_b", "shingles_a"), F.array_except("shingles_a", "shingles_b"))
     rows = materialize(both.select("a", "b", "linked", "take", F.explode(delta).alias("e")), "deltas")
@@ -238,14 +246,22 @@ def _links(blocks: DataFrame, sets: DataFrame, num: int, den: int, rounds: int)
     """Every link among nodes that share a block, or enough links to connect
     what is linked. blocks: (sig, rep).
 
-    In a round each block is led by the member that shares most blocks with
-    others. With D the largest difference of linked sets around a leader,
-    members within 2D of it are compared by their differences from it, those
-    beyond D go on to the next round: a pair that neither covers is more than
-    D apart. After the last round what remains in a block is paired.
+    Blocks of at most SMALL members pair all of them. In a round each larger
+    block is led by the member that shares most blocks with others. With D the
+    largest difference of linked sets around a leader, members within 2D of it
+    are compared by their differences from it, those beyond D go on to the
+    next round: a pair that neither covers is more than D apart. After the
+    last round what remains in a block is paired.
     """
-    found = None
+    sized = materialize(blocks.join(blocks.groupBy("sig").agg(F.count("*").alias("c")), "sig"), "sized")
+    x, y = (sized.where(F.col("c") <= SMALL).select("sig", F.col("rep").alias(p)) for p in "ab")
+    near = x.join(y, "sig").where("a < b").select("a", "b").distinct()  # at most SMALL / 2 rows a member
+    small = materialize(_measured(near, sets, num, den).where("linked").select("a", "b"), "links")
+    blocks = sized.where(F.col("c") > SMALL).select("sig", "rep")
+    found = small
     for _ in range(rounds):
+        if blocks.isEmpty():
+            return found
         sized = blocks.join(blocks.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig")
         rated = sized.groupBy("rep").agg(F.sum("c").alias("popular"))
         lead = blocks.join(rated, "rep").groupBy("sig").agg(F.max(F.struct("popular", (-F.col("rep")).alias("low"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("sig", (-F.col("m.low")).alias("leader"))
@@ -254,18 +270,21 @@ def _links(blocks: DataFrame, sets: DataFrame, num: int, den: int, rounds: int)
         own = stars.where("linked").select("a", "b")
         inner = _measured(_delta_pairs(stars.where("apart IS NOT NULL"), sets, num, den), sets, num, den).where("linked").select("a", "b")
         links = materialize(own.unionByName(inner), "links")
-        found = links if found is None else found.unionByName(links)
+        found = found.unionByName(links)
         radius = F.floor(4 * F.col("n_a") * (den - num) / (den + num))
         far = stars.where(F.col("apart").isNull() | (F.col("apart") > radius)).select(F.col("a").alias("leader"), F.col("b").alias("rep"))
         left = led.join(far, ["leader", "rep"], "left_semi").select("sig", "rep")
         blocks = materialize(left.join(left.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig", "left_semi"), "blocks")
-        if blocks.isEmpty():
-            return found
     x, y = (blocks.select("sig", F.col("rep").alias(p)) for p in "ab")
     rest = x.join(y, "sig").where("a < b").select("a", "b").distinct()
     return found.unionByName(_measured(rest, sets, num, den).where("linked").select("a", "b"))
 
 
+def _held(ids: DataFrame) -> DataFrame:
+    """A set of ids for a semi join: broadcast up to BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs: links join texts
     whose shingle sets have intersection * den >= num * union.
@@ -277,21 +296,26 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     each give a row. An empty table gives no rows; other columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(own.mapInArrow(_class_rows(shingle, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>"), "sets")
+    signed = materialize(own.mapInArrow(_class_rows(shingle, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>"), "signed")
     key = ["n", "h1", "h2"]
-    filled = rows.where("n > 0")
-    reps = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    rows = materialize(signed.drop("sigs"), "rows")
+    filled = signed.where("n > 0")
+    reps = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     # copies collapse before anything is compared
-    classes = filled.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs"))
+    leads = materialize(reps.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "leads")
+    classes = filled.join(_held(leads), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sigs")
     w = Window.partitionBy("sig").orderBy("rep")
     sent = classes.select("rep", F.explode("sigs").alias("sig")).withColumns({"before": F.lag("rep").over(w), "next": F.lead("rep").over(w)})
-    shared = materialize(sent.where("before <> rep or next <> rep").select("sig", "rep"), "blocks")
+    shared = materialize(sent.where("before <> rep or next <> rep").select("sig", "rep").distinct(), "blocks")
+    release(docs.sparkSession, signed)
 
     ids = materialize(shared.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = materialize(own.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(shingle), "node long, marks array<long>, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    sets = own.join(_held(ids), "doc_id", "left_semi").mapInArrow(_set_rows(shingle), "node long, marks array<long>, shingles array<long>")
+    if not rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        sets = sets.dropDuplicates(["node"])
+    sets = materialize(sets, "shingles")
 
     comps = connected_components(_links(shared, sets, num, den, rounds))
 
-    named = filled.select("doc_id", *key).join(reps, key).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    named = rows.where("n > 0").select("doc_id", *key).join(reps, key).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return named.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
