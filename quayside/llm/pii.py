@@ -162,7 +162,7 @@ def pii_spans(docs: DataFrame, accept: float = ACCEPT, id_col: str = "doc_id", t
     """
     text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     found = ", ".join(_proposals(k, w) for k in KINDS for w in ("base", "loose"))
-    held = materialize(text.select("doc_id", F.expr(f"if(t rlike '[0-9@]' or t rlike ' (?:at|AT) ', concat({found}), cast(array() AS array<struct<k:int,s:int,e:int,strict:boolean,votes:string>>))").alias("found")), "proposals")
+    held = materialize(text.select("doc_id", F.expr(rf"if(t rlike '[0-9@]' or t rlike '(?:at|AT) ?[\\])]' or t rlike '[a-f]:[0-9a-f]{{1,4}}:', concat({found}), cast(array() AS array<struct<k:int,s:int,e:int,strict:boolean,votes:string>>))").alias("found")), "proposals")
 
     counted = [(r["k"], r["votes"], r["count"]) for r in held.select(F.explode("found").alias("x")).groupBy("x.k", "x.votes").count().collect()]
     sure = span_classifier(counted, estimate(counted))
