@@ -31,6 +31,10 @@ from .common import connected_components, materialize, release
 
 #: Above this many ids the text scan is joined, not filtered by a broadcast set.
 BROADCAST_IDS = 4_000_000
+BROADCAST_PAIRS = 1_000_000
+BROADCAST_SHINGLES = 4_000_000  # 32 MB
+#: Members of a large group that show which differences are common in it.
+SHOWN = 12
 SKETCH_WORDS = 16  # 1,024 parity cells for the Hamming bound
 #: Around a leader, up to so many members are simply paired.
 SMALL = 16
@@ -183,10 +187,19 @@ def _side(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.join(other.select(F.col("node").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in other.columns[1:]]), key)
 
 
-def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The shingles of nodes in pairs (a, b)."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    return sets.select("node", "shingles").join(_held(ids), "node", "left_semi")
+def _with_arrays(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) with shingles_a and shingles_b. Up to bounds that
+    are checked, pairs and the arrays of side a (leaders are few) go to where
+    the arrays of side b are read, and no array is shuffled."""
+    pairs = materialize(pairs, "pairs")
+    arrays = sets.select("node", "shingles")
+    ids = materialize(pairs.select(F.col("a").alias("node")).distinct(), "ids")
+    firsts = arrays.join(_held(ids), "node", "left_semi").withColumnsRenamed({"node": "a", "shingles": "shingles_a"})
+    size = sets.join(_held(ids), "node", "left_semi").agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    few = pairs.count() <= BROADCAST_PAIRS
+    seconds = arrays.withColumnsRenamed({"node": "b", "shingles": "shingles_b"})
+    met = seconds.join(F.broadcast(pairs) if few else pairs, "b")
+    return met.join(F.broadcast(firsts) if size <= BROADCAST_SHINGLES else firsts, "a")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, reach: int = 1) -> DataFrame:
@@ -200,9 +213,8 @@ def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, reach: int
     bound = reach * F.floor(4 * F.col("n_a") * (den - num) / (den + num)) if reach > 1 else F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
     near = near.withColumn("open", (flipped <= bound) & (F.abs(F.col("n_a") - F.col("n_b")) <= bound)).drop("marks_a", "marks_b")
     near = materialize(near if reach > 1 else near.where("open"), "near")
-    full = _needed(near.where("open"), sets)
     far = near.where("NOT open").select("a", "b", "n_a", "n_b", F.lit(None).cast("long").alias("apart"), F.lit(False).alias("linked"))
-    both = _side(_side(near.where("open").drop("open"), full, "a"), full, "b").withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
+    both = _with_arrays(near.where("open").drop("open"), sets).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
     exact = both.select("a", "b", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("apart"), (F.col("common") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("linked"))
     return exact.unionByName(far) if reach > 1 else exact
 
@@ -227,18 +239,18 @@ def _delta_pairs(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
     few = met(grouped.where("NOT large"), ["a"])  # at most SMALL / 2 pairs a member
     held = grouped.where("large").withColumn("take", (d - t + 1).cast("int")).where("take > 0").select("a", "b", "linked", "take")
-    held = materialize(held, "held")
-    full = _needed(held, sets)
-    both = _side(_side(held, full, "a"), full, "b")
     delta = F.concat(F.array_except("shingles_b", "shingles_a"), F.array_except("shingles_a", "shingles_b"))
-    rows = materialize(both.select("a", "b", "linked", "take", F.explode(delta).alias("e")), "deltas")
-    found = rows.groupBy("a", "e").agg(F.count("*").alias("found")).where("found > 1")
-    # elements of one member alone come first and meet no other: only their number counts
-    shared = rows.join(found, ["a", "e"])
-    alone = rows.groupBy("a", "b").agg(F.count("*").alias("all"))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("found", "e"))
-    counted = shared.withColumns({"rank": rank, "own": F.count("*").over(Window.partitionBy("a", "b"))}).join(alone, ["a", "b"])
-    prefix = counted.where(F.col("all") - F.col("own") + F.col("rank") <= F.col("take")).select("a", "e", "b", "linked")
+    both = _with_arrays(held, sets).select("a", "b", "linked", "take", delta.alias("delta"))
+    # any order that depends on leader and element alone is right; what several
+    # of a few members show comes last
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
+    shown = _with_arrays(held.select("a", "b").withColumn("place", place).where(F.col("place") <= SHOWN), sets)
+    seen = shown.select("a", delta.alias("delta")).groupBy("a").agg(F.array_sort(F.flatten(F.collect_list("delta"))).alias("all"))
+    common = seen.select("a", F.expr("array_distinct(filter(transform(all, (x, i) -> if(i > 0 AND x = all[i - 1], x, NULL)), x -> x IS NOT NULL))").alias("common"))
+    common = materialize(common, "common")
+    ordered = F.concat(F.array_sort(F.array_except("delta", "common")), F.array_sort(F.array_intersect("delta", "common")))
+    width_ = common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]
+    prefix = both.join(F.broadcast(common) if width_ <= BROADCAST_SHINGLES else common, "a").select("a", "b", "linked", F.explode(F.slice(ordered, F.lit(1), F.col("take"))).alias("e"))
     return met(prefix, ["a", "e"]).unionByName(few).distinct()
 
 
@@ -257,8 +269,9 @@ def _links(blocks: DataFrame, sets: DataFrame, num: int, den: int, rounds: int)
     x, y = (sized.where(F.col("c") <= SMALL).select("sig", F.col("rep").alias(p)) for p in "ab")
     near = x.join(y, "sig").where("a < b").select("a", "b").distinct()  # at most SMALL / 2 rows a member
     small = materialize(_measured(near, sets, num, den).where("linked").select("a", "b"), "links")
-    blocks = sized.where(F.col("c") > SMALL).select("sig", "rep")
+    blocks = materialize(sized.where(F.col("c") > SMALL).select("sig", "rep"), "blocks")
     found = small
+    release(blocks.sparkSession, sized)
     for _ in range(rounds):
         if blocks.isEmpty():
             return found
@@ -271,6 +284,7 @@ def _links(blocks: DataFrame, sets: DataFrame, num: int, den: int, rounds: int)
         inner = _measured(_delta_pairs(stars.where("apart IS NOT NULL"), sets, num, den), sets, num, den).where("linked").select("a", "b")
         links = materialize(own.unionByName(inner), "links")
         found = found.unionByName(links)
+        release(blocks.sparkSession)
         radius = F.floor(4 * F.col("n_a") * (den - num) / (den + num))
         far = stars.where(F.col("apart").isNull() | (F.col("apart") > radius)).select(F.col("a").alias("leader"), F.col("b").alias("rep"))
         left = led.join(far, ["leader", "rep"], "left_semi").select("sig", "rep")
