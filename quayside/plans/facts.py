@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions import stats
+from quayside.operators import depth
 from quayside.operators import indicators as ind
 from quayside.operators import joins
 from quayside.operators import minute as mn
@@ -247,4 +248,50 @@ def item_profile(spark, sf_dir):
     return told(p.select("series", "tick", "qty", F.round("notional", 2).alias("notional"), F.row_number().over(Window.partitionBy("series").orderBy(F.desc("qty"), "tick")).alias("rank")), 6)
 
 
+@query(
+    f"""WITH {QUOTES}, b AS (SELECT symbol, market, time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') AS ts, list_sort(list(struct_pack(price := bid, qty := bid_qty)), 'DESC')[1:5] AS bids, list_sort(list(struct_pack(price := ask, qty := ask_qty)))[1:5] AS asks FROM quotes GROUP BY ALL),
+    s AS (SELECT *, list_sum(list_transform(bids, lambda x: x.qty)) AS b, list_sum(list_transform(asks, lambda x: x.qty)) AS a, list_sum(list_transform(bids, lambda x, i: x.qty * exp(-0.35 * (i - 1)))) AS wb, list_sum(list_transform(asks, lambda x, i: x.qty * exp(-0.35 * (i - 1)))) AS wa FROM b)
+    SELECT symbol, market, {T.format('ts')} AS ts, {R('(bids[1].qty - asks[1].qty) / (bids[1].qty + asks[1].qty)')} AS obi_l1, {R('(b - a) / (b + a)')} AS obi_k, {R('(wb - wa) / (wb + wa)')} AS obi_k_dw, {R('(wb - wa) / (wb + wa) - lag((wb - wa) / (wb + wa)) OVER (PARTITION BY symbol, market ORDER BY ts)')} AS obi_k_dw_change FROM s"""
+)
+def book_depth(spark, sf_dir):
+    """Hourly books of the best quotes and their depth features."""
+    q = src.quotes(spark, sf_dir)
+    bids = F.sort_array(F.collect_list(F.struct(F.col("bid").alias("price"), F.col("bid_qty").alias("qty"))), asc=False)
+    asks = F.sort_array(F.collect_list(F.struct(F.col("ask").alias("price"), F.col("ask_qty").alias("qty"))))
+    books = q.groupBy(*KEY, mn.floor_to(F.col("ts"), 60).alias("ts")).agg(bids.alias("bids"), asks.alias("asks"))
+    return told(depth.depth_features(books).select(*KEY, "ts", "obi_l1", "obi_k", "obi_k_dw", "obi_k_dw_change"))
+
+
+@query(
+    f"""WITH {QUOTES}, {WALL}, n AS (SELECT b.*, mid FROM book b JOIN mids m ON b.symbol = m.symbol AND b.market = m.market)
+    SELECT symbol, market, {R('sum(CASE WHEN abs(price - mid) <= mid * 0.01 THEN bid ELSE 0 END) / sum(CASE WHEN abs(price - mid) <= mid * 0.01 THEN bid + ask ELSE 0 END)')} AS imbalance_1pct, {R('sum(CASE WHEN abs(price - mid) <= mid * 0.03 THEN bid ELSE 0 END) / sum(CASE WHEN abs(price - mid) <= mid * 0.03 THEN bid + ask ELSE 0 END)')} AS imbalance_3pct FROM n GROUP BY symbol, market"""
+)
+def depth_imbalance(spark, sf_dir):
+    q = src.quotes(spark, sf_dir)
+    book = q.select(*KEY, F.col("bid").alias("price"), F.col("bid_qty").alias("b"), F.lit(0.0).alias("a")).unionByName(q.select(*KEY, F.col("ask").alias("price"), F.lit(0.0).alias("b"), F.col("ask_qty").alias("a")))
+    mids = q.groupBy(*KEY).agg(F.round(F.avg((F.col("bid") + F.col("ask")) / 2), 2).alias("mid"))
+    return told(depth.within(book.join(mids, KEY), "mid", "price", "b", "a", KEY))
+
+
+@query()
+def profile_prominences(spark, sf_dir):
+    """Peaks of the volume profile by topographic prominence."""
+    p = mn.profile(src.trades(spark, sf_dir).withColumn("price", F.floor("price") / 100))
+    return depth.prominences(p.select(*KEY, "tick", (F.col("buy_qty") + F.col("sell_qty")).alias("volume")), KEY)
+
+
+@query(
+    f"""WITH {HISTORY}, {bar_sql(1440)}, r AS (SELECT symbol, market, bar, close, delta, row_number() OVER (PARTITION BY symbol, market ORDER BY bar) AS i FROM bars WHERE close IS NOT NULL), f AS (SELECT *, regr_slope(delta, i) OVER w AS slope, regr_slope(close, i) OVER w AS price_slope, regr_intercept(close, i) OVER w AS base, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY symbol, market ORDER BY bar ROWS 9 PRECEDING))
+    SELECT symbol, market, {T.format('bar')} AS bar, {R('CASE WHEN n >= 3 THEN slope END')} AS slope, {R('CASE WHEN n >= 3 THEN close - (base + price_slope * i) END')} AS residual FROM f"""
+)
+def trend_residuals(spark, sf_dir):
+    """Rolling least squares of daily bars: slope of delta, last price residual."""
+    w = Window.partitionBy(*KEY).orderBy("bar")
+    b = mn.bars(history_of(spark, sf_dir), 1440).where("close is not null").withColumn("i", F.row_number().over(w))
+    frame = w.rowsBetween(-9, 0)
+    n = F.count("*").over(frame)
+    residual = F.col("close") - (F.regr_intercept("close", "i").over(frame) + F.regr_slope("close", "i").over(frame) * F.col("i"))
+    return told(b.select(*KEY, "bar", stats.slope(F.col("delta"), F.col("i"), frame).alias("slope"), F.when(n >= 3, residual).alias("residual")))
+
+
 __all__ = ["ORACLES", "QUERIES"]
