@@ -239,13 +239,13 @@ def order_bars(spark, sf_dir):
 
 
 @query(
-    f"""WITH p AS (SELECT l_returnflag AS series, floor(l_extendedprice / l_quantity / 10)::BIGINT AS tick, sum(l_quantity) AS qty, sum(l_extendedprice) AS notional FROM lineitem GROUP BY ALL) SELECT series, tick, {R('qty')} AS qty, round(notional, 2) AS notional, row_number() OVER (PARTITION BY series ORDER BY qty DESC, tick)::INTEGER AS rank FROM p"""
+    f"""WITH p AS (SELECT l_returnflag AS series, floor(l_extendedprice / l_quantity / 10)::BIGINT AS tick, sum(l_quantity) AS qty, sum(l_extendedprice) AS notional FROM lineitem GROUP BY ALL) SELECT series, tick, {R('qty')} AS qty, round(notional + 1e-5, 2) AS notional, row_number() OVER (PARTITION BY series ORDER BY qty DESC, tick)::INTEGER AS rank FROM p"""
 )
 def item_profile(spark, sf_dir):
     """Quantity by unit price over line items, ranked."""
     unit = F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 10)
     p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("series"), unit.alias("tick")).agg(F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("notional"))
-    return told(p.select("series", "tick", "qty", F.round("notional", 2).alias("notional"), F.row_number().over(Window.partitionBy("series").orderBy(F.desc("qty"), "tick")).alias("rank")), 6)
+    return told(p.select("series", "tick", "qty", F.round(F.col("notional") + 1e-5, 2).alias("notional"), F.row_number().over(Window.partitionBy("series").orderBy(F.desc("qty"), "tick")).alias("rank")), 6)
 
 
 @query(

@@ -27,13 +27,14 @@ def query(sql: str | None = None):
 
 
 def told(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded, times as text: equal in either engine."""
+    """Doubles rounded, times as text: equal in either engine. The small shift
+    keeps ties from turning on the order of a sum."""
     out = []
     for f in df.schema.fields:
         kind = f.dataType.typeName()
         c = F.col(f.name)
         if kind == "double":
-            c = F.round(c, places) + F.lit(0.0)
+            c = F.round(c + 1e-9, places) + F.lit(0.0)
         elif kind.startswith("timestamp"):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         out.append(c.alias(f.name))
@@ -44,7 +45,7 @@ T = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 
 def R(x: str) -> str:  # noqa: N802
-    return f"round({x}, 6) + 0.0"
+    return f"round({x} + 1e-9, 6) + 0.0"
 
 
 BASE = """
@@ -178,11 +179,11 @@ def volume_toxicity(spark, sf_dir):
 
 @query(
     f"""WITH {HISTORY}, v AS (SELECT symbol, market, minute, sum(qty) {frame(15)} AS volume FROM history), z AS (SELECT *, CASE WHEN count(*) OVER p >= 60 THEN CASE WHEN stddev_pop(volume) OVER p <= 1e-9 THEN 0 ELSE (volume - avg(volume) OVER p) / stddev_pop(volume) OVER p END END AS z FROM v WINDOW p AS (PARTITION BY symbol, market ORDER BY minute ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
-    SELECT symbol, market, {T.format('minute')} AS minute, {R('volume')} AS volume, round(z, 4) + 0.0 AS z FROM z WHERE z >= 1.5 AND round(z, 4) <> 1.5"""
+    SELECT symbol, market, {T.format('minute')} AS minute, {R('volume')} AS volume, round(z + 1e-7, 4) + 0.0 AS z FROM z WHERE z >= 1.5 AND round(z, 4) <> 1.5"""
 )
 def volume_pulse(spark, sf_dir):
     v = ind.volume_pulse(history_of(spark, sf_dir)).where("z >= 1.5 and round(z, 4) <> 1.5")
-    return told(v.select(*KEY, "minute", "volume", (F.round("z", 4) + F.lit(0.0)).alias("z")))
+    return told(v.select(*KEY, "minute", "volume", (F.round(F.col("z") + 1e-7, 4) + F.lit(0.0)).alias("z")))
 
 
 @query(
@@ -345,7 +346,7 @@ FUND = """points AS (SELECT event_id AS point_id, 'S' || CAST(user_id % 4 AS VAR
     f"""WITH {FUND}, n AS (SELECT *, lead(ts) OVER w AS next_ts, CASE WHEN abs(rate - lag(rate) OVER w) <= 1e-12 THEN 0 ELSE 1 END AS changed FROM points WINDOW w AS (PARTITION BY symbol ORDER BY ts, point_id)), e AS (SELECT symbol, max(date_trunc('day', ts)) + INTERVAL 1 DAY AS stop FROM points GROUP BY symbol),
     u AS (SELECT n.*, coalesce(next_ts, stop) AS until FROM n JOIN e ON n.symbol = e.symbol), d AS (SELECT *, unnest(generate_series(date_trunc('day', ts), date_trunc('day', until - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS bucket FROM u),
     h AS (SELECT *, epoch_us(least(until, bucket + INTERVAL 1 DAY)) / 1e6 - epoch_us(greatest(ts, bucket)) / 1e6 AS held FROM d)
-    SELECT symbol, {T.format('bucket')} AS bucket, round(sum(rate * held) / sum(held), 6) + 0.0 AS twa, {R('last(rate ORDER BY ts, point_id)')} AS last_rate, {R('last(mark ORDER BY ts, point_id)')} AS mark_price, sum(CASE WHEN ts >= bucket THEN changed ELSE 0 END)::BIGINT AS changes FROM h GROUP BY ALL"""
+    SELECT symbol, {T.format('bucket')} AS bucket, {R('sum(rate * held) / sum(held)')} AS twa, {R('last(rate ORDER BY ts, point_id)')} AS last_rate, {R('last(mark ORDER BY ts, point_id)')} AS mark_price, sum(CASE WHEN ts >= bucket THEN changed ELSE 0 END)::BIGINT AS changes FROM h GROUP BY ALL"""
 )
 def funding_twa(spark, sf_dir):
     return told(ind.funding(src.funding_points(spark, sf_dir)))
