@@ -35,7 +35,7 @@ BROADCAST_PAIRS = 1_000_000
 BROADCAST_SHINGLES = 4_000_000  # 32 MB
 #: Members of a large group that show which differences are common in it.
 SHOWN = 12
-SKETCH_WORDS = 16  # 1,024 parity cells for the Hamming bound
+SKETCH_WORDS = 16  # least size of a parity sketch: 1,024 cells
 #: Around a leader, up to so many members are simply paired.
 SMALL = 16
 CACHE = 500_000
@@ -125,8 +125,10 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parities of SKETCH_WORDS * 64 cells."""
-    cell = np.bincount((scramble(s ^ _ODD[5]) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    """Parities of a power of two of cells, as many as the set has shingles or
+    more. Halves folded on each other are the sketch of half the width."""
+    width = max(64 * SKETCH_WORDS, 1 << max(0, len(s) - 1).bit_length())
+    cell = np.bincount((scramble(s ^ _ODD[5]) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(cell.astype(np.uint8)).view(np.int64)
 
 
@@ -209,7 +211,14 @@ def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, reach: int
     exact figure: apart is null, linked false."""
     light = sets.select("node", F.size("shingles").alias("n"), "marks")
     near = _side(_side(pairs, light, "a"), light, "b")
+    def folded(own: str, other: str):
+        n = F.size(other)
+        halves = F.zip_with(F.slice(own, F.lit(1), n), F.slice(own, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) == 2 * n, halves).otherwise(F.col(own))
+
+    near = near.withColumns({"marks_a": folded("marks_a", "marks_b"), "marks_b": folded("marks_b", "marks_a")})
     flipped = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    flipped = F.when(F.size("marks_a") == F.size("marks_b"), flipped).otherwise(0)
     bound = reach * F.floor(4 * F.col("n_a") * (den - num) / (den + num)) if reach > 1 else F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
     near = near.withColumn("open", (flipped <= bound) & (F.abs(F.col("n_a") - F.col("n_b")) <= bound)).drop("marks_a", "marks_b")
     near = materialize(near if reach > 1 else near.where("open"), "near")

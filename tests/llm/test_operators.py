@@ -297,6 +297,11 @@ def test_sketches_bound_the_difference():
         apart = len(np.setxor1d(a, b))
         bits = lambda s: np.unpackbits(jaccard_join.sketch(s).view(np.uint8))
         assert (bits(a) != bits(b)).sum() <= apart
+    long = np.unique(r.integers(0, 1 << 63, 1500, dtype=np.uint64))
+    wide, narrow = jaccard_join.sketch(long), jaccard_join.sketch(long[:900])
+    assert len(wide) == 2 * len(narrow)
+    half = wide[: len(narrow)] ^ wide[len(narrow) :]
+    assert np.unpackbits((half ^ narrow).view(np.uint8)).sum() <= 600
 
 
 def test_components(spark):
