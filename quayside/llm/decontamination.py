@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman (operator 5).
+"""Benchmark decontamination: n-gram seeds by rarity, then Smith-Waterman (operator 5).
 
 Words are compared without case and punctuation. One scan finds, per document,
 the positions of n-grams that occur in test items; document frequencies over
-the whole corpus follow from it. Of every `stride` successive n-grams of an
-item the rarest is a seed. Documents with enough seeds of an item are read
-again and the passages around the seeds aligned with the item; an alignment
-tolerates edits, insertions and gaps. Any run of n + stride - 1 unedited words
-holds a seed.
+the whole corpus follow from it. Every n-gram of an item that some document
+holds is a seed: to pick among neighbours by frequency may pick one that an
+edit broke. One rare seed is enough, of common ones it takes two. Documents
+with enough seeds of an item are read again and the passages around the seeds
+aligned with the item; an alignment tolerates edits, insertions and gaps. Any
+run of n unedited words holds a seed.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from .common import materialize
 #: Test items are compared in blocks of at most so many bytes, held by every task.
 BLOCK_BYTES = 32 << 20
 BROADCAST_IDS = 4_000_000
-N, STRIDE, LEAST = 3, 2, 0.5
+N, LEAST = 3, 0.5
+#: An n-gram in more documents is common.
+RARE_DOCS = 4096
 MATCH, MISMATCH, GAP = 2, -1, -1
 CACHE = 500_000
 
@@ -84,9 +87,9 @@ class Block:
         where = np.flatnonzero((self.grams[at] == codes) & (codes >= 0))
         return where, at[where]
 
-    def seeds(self, frequency: np.ndarray, stride: int) -> list[list[tuple[int, int]]]:
-        """Per item, (n-gram, its position in the item)."""
-        return [sorted({(int(at[p]), int(p)) for s in range(0, len(at), stride) for p in [min(range(s, min(s + stride, len(at))), key=lambda q: (frequency[at[q]], q))]}) for at in self.at]
+    def seeds(self, frequency: np.ndarray) -> list[list[tuple[int, int]]]:
+        """Per item, (n-gram, its position in the item) of those that occur."""
+        return [sorted({(int(g), p) for p, g in enumerate(at) if frequency[g] > 0}) for at in self.at]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -104,9 +107,10 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def best_passage(item: np.ndarray, text: np.ndarray, starts: list[int]) -> tuple[float, int, int]:
+def best_passage(item: np.ndarray, text: np.ndarray, starts: list[int], least: float) -> tuple[float, int, int]:
     """Share of the item's full score, and the passage. starts: where the item
-    would begin in the text, by each seed."""
+    would begin in the text, by each seed. A window that holds too few of the
+    item's words to reach `least` isn't aligned."""
     m, best = len(item), (0.0, 0, 0)
     slack = m // 2 + 4
     starts = sorted(starts)
@@ -115,10 +119,12 @@ def best_passage(item: np.ndarray, text: np.ndarray, starts: list[int]) -> tuple
         if i < len(starts) and starts[i] - starts[i - 1] <= slack:
             continue
         lo, hi = max(0, starts[first] - slack), min(len(text), starts[i - 1] + m + slack)
-        score, end = align(item, text[lo:hi])
+        first, window = i, text[lo:hi]
+        if np.isin(item, window).sum() < least * m:  # each match counts MATCH at most
+            continue
+        score, end = align(item, window)
         if score / (MATCH * m) > best[0]:
             best = (score / (MATCH * m), max(0, lo + end - m), lo + end)
-        first = i
     return best
 
 
@@ -138,11 +144,17 @@ def _hits(block: Block):
     return run
 
 
-def _alignments(block: Block, seeds: list[list[tuple[int, int]]], least: float):
+def needed(seeds: list[list[tuple[int, int]]], weight: np.ndarray) -> list[int]:
+    """Per item, the weight of seeds it takes: 2, or all that it has."""
+    return [min(2, int(weight[list({g for g, _ in found})].sum())) if found else 2 for found in seeds]
+
+
+def _alignments(block: Block, seeds: list[list[tuple[int, int]]], weight: np.ndarray, least: float):
     of: dict[int, list[tuple[int, int]]] = {}
     for k, found in enumerate(seeds):
         for gram, p in found:
             of.setdefault(gram, []).append((k, p))
+    enough = needed(seeds, weight)
 
     def run(batches):
         vocabulary = Vocabulary(block.words)
@@ -152,12 +164,14 @@ def _alignments(block: Block, seeds: list[list[tuple[int, int]]], least: float):
             for i in range(b.num_rows):
                 ids = block.numbers(texts[i].as_py() or b"", vocabulary)
                 starts: dict[int, list[int]] = {}
+                held: dict[int, set[int]] = {}
                 for where, gram in zip(*map(np.ndarray.tolist, block.found(ids))):
                     for k, p in of.get(gram, ()):
                         starts.setdefault(k, []).append(where - p)
+                        held.setdefault(k, set()).add(gram)
                 for k, where in starts.items():
-                    if len(set(where)) and len(where) >= min(2, len(seeds[k])):
-                        share, lo, hi = best_passage(block.items[k], ids, where)
+                    if weight[list(held[k])].sum() >= enough[k]:
+                        share, lo, hi = best_passage(block.items[k], ids, where, least)
                         if share >= least:
                             out.append((b.column(0)[i].as_py(), block.ids[k], share, lo, hi))
             columns = list(zip(*out)) or [()] * 5
@@ -166,7 +180,7 @@ def _alignments(block: Block, seeds: list[list[tuple[int, int]]], least: float):
     return run
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, n: int = N, stride: int = STRIDE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, n: int = N, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): one row per document
     and test item whose alignment reaches `least` of the item's full score.
 
@@ -188,16 +202,17 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, n: int = N, stride: in
         frequency = np.zeros(len(block.grams), np.int64)
         for r in hits.select(F.explode("grams").alias("gram")).groupBy("gram").count().collect():  # the block's n-grams at most
             frequency[r["gram"]] = r["count"]
-        seeds = block.seeds(frequency, stride)
-        pairs = [(g, k) for k, found in enumerate(seeds) for g, _ in found]
+        seeds = block.seeds(frequency)
+        weight = np.where(frequency > RARE_DOCS, 1, 2)
+        pairs = [(g, k, int(weight[g])) for k, found in enumerate(seeds) for g in sorted({g for g, _ in found})]
         if not pairs:
             continue
-        table = spark.createDataFrame(pairs, "gram long, item int")
-        enough = spark.createDataFrame([(k, min(2, len({g for g, _ in found}))) for k, found in enumerate(seeds)], "item int, enough int")
+        table = spark.createDataFrame(pairs, "gram long, item int, weight int")
+        enough = spark.createDataFrame(list(enumerate(needed(seeds, weight))), "item int, enough int")
         # a document's n-grams are distinct and few, so its seeds are counted in its own row
         row = F.monotonically_increasing_id()
-        counted = hits.withColumn("row", row).select("doc_id", "row", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram").groupBy("row", "item").agg(F.count("*").alias("seeds"), F.first("doc_id").alias("doc_id"))
+        counted = hits.withColumn("row", row).select("doc_id", "row", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram").groupBy("row", "item").agg(F.sum("weight").alias("seeds"), F.first("doc_id").alias("doc_id"))
         ids = materialize(counted.join(F.broadcast(enough), "item").where("seeds >= enough").select("doc_id").distinct(), "ids")
         near = own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, own["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-        out = out.unionByName(near.mapInArrow(_alignments(block, seeds, least), "doc_id long, item_id long, score double, first_word long, end_word long"))
+        out = out.unionByName(near.mapInArrow(_alignments(block, seeds, weight, least), "doc_id long, item_id long, score double, first_word long, end_word long"))
     return out

@@ -194,6 +194,33 @@ def test_decontamination(spark):
     assert {(x["doc_id"], x["item_id"]) for x in blocks.collect()} == set(got)
 
 
+def test_decontamination_of_edited_copies(spark):
+    """Against Smith-Waterman of all pairs: every 4th word replaced, and 20
+    to 30 % at random, beside an exact copy whose n-grams are rarer."""
+    r = random.Random(55)
+    items = [words(r, m) for m in (15, 20, 38, 59) for _ in range(5)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    texts, pairs, fourth = [], [], set()
+    for k, item in enumerate(items):
+        for share in (0, 4, 0.2, 0.2, 0.3):
+            copy = [f"z{at}" if (at % 4 == 3 if share == 4 else r.random() < share) else w for at, w in enumerate(item)]
+            texts.append(" ".join([*words(r, 60), *copy, *words(r, 60)]))
+            if share == 4:
+                fourth.add((len(texts), k))
+    for d, text in enumerate(texts, 1):
+        for k, item in enumerate(items):
+            number = {w: n for n, w in enumerate(item)}
+            score = decontamination.align(np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in text.split()]))[0]
+            if score >= decontamination.LEAST * decontamination.MATCH * len(item):
+                pairs.append((d, k))
+    got = {(x["doc_id"], x["item_id"]) for x in decontamination.contaminations(documents(spark, texts), bench).collect()}
+    assert fourth <= got <= set(pairs)
+    # a copy without 3 unedited words in a row has no seed
+    grams = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in items]
+    text_grams = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    assert got == {(d, k) for d, k in pairs if grams[k] & text_grams[d - 1]}
+
+
 def test_alignment_is_smith_waterman():
     r = random.Random(6)
     for _ in range(30):
