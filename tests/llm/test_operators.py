@@ -13,7 +13,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from quayside.llm import chat, compression, decontamination, html_template, jaccard_join, mixing, pii, quality, secrets, sharding
+from quayside.llm import chat, compression, decontamination, html_template, jaccard_join, mixing, pii, quality, queries, secrets, sharding
 from quayside.llm.common import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rep string, n long"
@@ -221,6 +221,16 @@ def test_decontamination_of_edited_copies(spark):
     assert got == {(d, k) for d, k in pairs if grams[k] & text_grams[d - 1]}
 
 
+def test_decontamination_query_names_every_item(spark, tmp_path):
+    r = random.Random(56)
+    items = [words(r, 20) for _ in range(3)]
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, items[0] + items[1]), (2, items[2]), (2, items[2]), (None, items[0]), (None, items[2])]
+    spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(x["doc_id"], x["item_id"]) for x in queries.op5_decontamination(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 0), (1, 1), (2, 2), (None, 0), (None, 2)]))
+
+
 def test_alignment_is_smith_waterman():
     r = random.Random(6)
     for _ in range(30):
