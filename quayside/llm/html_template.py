@@ -4,22 +4,28 @@ Pages are token streams of tags (with class, id and role) and whole text
 blocks. A token's occurrence vector holds its count in every page of a host;
 tokens with equal vectors are an equivalence class. Vectors are never built:
 per (host, token) the hashes of (page, count) are summed, so equal sums mean
-equal vectors and hot hosts are pre-aggregated. A class is valid if it occurs
-in enough pages and has enough tokens; its opening and closing tags nest. The
-valid classes of a host are its template; repeated text blocks are its fixed
-text, and what stands between template tags are slots. Hosts with few pages
-share one pooled template.
-
-A page's article is the template's content element: `article` or `main`, or
-the innermost template element that holds most of the free text. Menus,
+equal vectors and hot hosts are pre-aggregated. A class needs enough pages and enough tokens. Then each page tells
+which tokens break their class: those out of the class's order (by mean
+position), and those that lie alone in a slot of a class with more pages, so
+that a class which spans several slots falls into the parts that nest. Classes
+that keep enough tokens are valid and form the host's template: repeated text
+blocks are its fixed text, and what stands between its tokens are slots.
+Hosts with few pages share a pooled template.
+
+A page's article is the text of its slots without the fixed text, in menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts and
-styles in it are left out.
+styles (fixed tag and word lists) never. `article` or `main` choose the slots
+where a page has them; elsewhere it is the innermost template element that
+holds most of the free text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
+from itertools import count, pairwise
 
 import pyarrow as pa
 import xxhash
@@ -29,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.5, 3
+#: A token stays in its class if at most so many of its pages break it.
+MOST_BROKEN = 0.1
 #: Templates up to so many tokens in all go to every task, larger ones are joined.
 BROADCAST_TOKENS = 4_000_000
 
@@ -51,31 +59,34 @@ CONTENT = ("article", "main")
 
 
 class Element:
-    __slots__ = ("name", "token", "content", "skipped", "parent", "closed", "chars")
+    __slots__ = ("name", "token", "content", "skipped", "parent", "at", "end")
 
-    def __init__(self, name, token, content, skipped, parent):
-        self.name, self.token, self.content, self.skipped, self.parent, self.closed, self.chars = name, token, content, skipped, parent, False, 0
+    def __init__(self, name, token, content, skipped, parent, at):
+        self.name, self.token, self.content, self.skipped, self.parent, self.at, self.end = name, token, content, skipped, parent, at, 0
 
 
 def _token(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) & ((1 << 63) - 1)
+    """Even for a tag, odd for a text block."""
+    return xxhash.xxh64_intdigest(text) & ((1 << 63) - 2) | (text[0] == "#")
 
 
-def parse(page: str) -> tuple[list[Element], list[tuple[Element | None, str]]]:
+def parse(page: str) -> tuple[list[Element], list[tuple[Element | None, str, int]]]:
     """Elements in order of opening, and the text blocks with the element each
-    stands in. Lenient: what is never closed ends with its parent."""
+    stands in and its place in the page. Lenient: what is never closed ends
+    with its parent."""
     elements: list[Element] = []
     stack: list[Element] = []
-    blocks: list[tuple[Element | None, str]] = []
+    blocks: list[tuple[Element | None, str, int]] = []
     held: list[str] = []
     at = 0
+    place = count(1)
 
     def flush() -> None:
         if held:
             text = _BLANK.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
-                blocks.append((stack[-1] if stack else None, text))
+                blocks.append((stack[-1] if stack else None, text, next(place)))
 
     for m in _MARKUP.finditer(page):
         if m.start() < at:
@@ -102,7 +113,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element | None, str]]]:
                 while stack:
                     e = stack.pop()
                     if e.name == name:
-                        e.closed = True
+                        e.end = next(place)
                         break
             else:
                 flush()
@@ -125,13 +136,13 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element | None, str]]]:
         skipped = bool(parent and parent.skipped) or name in SKIPPED or bool(words & SKIPPED_WORDS) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
         if not (parent and parent.content):
             skipped = skipped or name == "header" or bool(words & HEADER_WORDS)
-        e = Element(name, _token(f"<{name} {attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}>"), content, skipped, parent)
+        e = Element(name, _token(f"<{name} {attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}>"), content, skipped, parent, next(place))
         elements.append(e)
         if name in VOID or (m.group(3) or "").endswith("/"):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            e.closed = end is not None
+            e.end = next(place) if end else 0
             at = end.end() if end else len(page)
             continue
         stack.append(e)
@@ -140,16 +151,14 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element | None, str]]]:
     return elements, blocks
 
 
-def tokens(page: str) -> dict[int, int]:
-    """Token -> count: opening tags, closing tags, and whole text blocks."""
-    counts: dict[int, int] = {}
+def tokens(page: str) -> dict[int, list[int]]:
+    """Token -> [count, place of the first]: opening tags, closing tags, and
+    whole text blocks."""
+    counts: dict[int, list[int]] = {}
     elements, blocks = parse(page)
-    for e in elements:
-        for t in (e.token, _token(f"/{e.token}")) if e.closed else (e.token,):
-            counts[t] = counts.get(t, 0) + 1
-    for _, text in blocks:
-        t = _token(f"#{text}")
-        counts[t] = counts.get(t, 0) + 1
+    found = [(e.at, e.token) for e in elements] + [(e.end, _token(f"/{e.token}")) for e in elements if e.end] + [(at, _token(f"#{text}")) for _, text, at in blocks]
+    for at, t in sorted(found):
+        counts.setdefault(t, [0, at])[0] += 1
     return counts
 
 
@@ -159,21 +168,22 @@ def main_text(page: str, template: frozenset[int]) -> str:
     inner = [e for e in elements if e.name == "article" and not e.skipped and any(p in chosen and p.name != "article" for p in _above(e)) and not any(p.name == "article" for p in _above(e))]
     if inner:
         chosen = [e for e in chosen if e.name == "article"] + inner
+    open_ = [(e, t) for e, t, _ in blocks if not (e and e.skipped)]
+    if chosen:
+        roots = set(map(id, chosen))
+        open_ = [(e, t) for e, t in open_ if any(id(up) in roots for up in _above(e, own=True))]
+    free = [(e, t) for e, t in open_ if _token(f"#{t}") not in template]
     if not chosen:
-        # the innermost template element with most of the text that is no template text
-        free = [(e, t) for e, t in blocks if not (e and e.skipped) and _token(f"#{t}") not in template]
-        for e, t in free:
-            for up in _above(e, own=True):
-                up.chars += len(t)
+        # a tag that comes again in the page is part of a slot's content
+        times = Counter(e.token for e in elements)
+        chains = [[up for up in _above(e, own=True) if up.token in template and times[up.token] == 1] for e, _ in free]
+        chars: Counter[int] = Counter()
+        for chain, (_, t) in zip(chains, free):
+            chars.update({id(up): len(t) for up in chain})
         total = sum(len(t) for _, t in free)
-        fixed = [e for e in elements if e.token in template and not e.skipped and e.chars * 2 > total]
-        if not fixed:
-            return "\n".join(t for _, t in free)
-        chosen = [fixed[-1]]
-        kept = {id(t) for _, t in free}
-        blocks = [(e, t) for e, t in blocks if id(t) in kept]
-    roots = set(map(id, chosen))
-    return "\n".join(t for e, t in blocks if e and not e.skipped and any(id(up) in roots for up in _above(e, own=True)))
+        region = next((e for e in reversed(elements) if chars[id(e)] * 2 > total), None)
+        free = [x for chain, x in zip(chains, free) if region is None or any(region is up for up in chain)]
+    return "\n".join(t for _, t in free)
 
 
 def _above(e: Element | None, own: bool = False):
@@ -188,37 +198,95 @@ def _counted(batches):
         out = []
         pages = b.column(1).cast(pa.string())
         for i in range(b.num_rows):
-            page = pages[i].as_py() or ""
-            counts = tokens(page)
-            key = xxhash.xxh64_intdigest(page + "\x00" + str(b.column(2)[i].as_py()))
-            vector = [xxhash.xxh64_intdigest(f"{key}:{n}") for n in counts.values()]
-            out.append((b.column(0)[i].as_py(), list(counts), [v & 0xFFFFFFFF for v in vector], [v >> 32 for v in vector]))
-        columns = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.list_(pa.int64())) for c in columns[1:]]], ["host", "token", "v1", "v2"])
+            host, counts = b.column(0)[i].as_py(), tokens(pages[i].as_py() or "")
+            content = xxhash.xxh64_intdigest(repr(sorted((t, n) for t, (n, _) in counts.items())))
+            of = {n: xxhash.xxh64_intdigest(f"{host}\x00{content}:{n}") for n in {n for n, _ in counts.values()}}
+            vector = [of[n] for n, _ in counts.values()]
+            out.append((host, content & ((1 << 63) - 1), list(counts), [at for _, at in counts.values()], [v & 0xFFFFFFFF for v in vector], [v >> 32 for v in vector]))
+        columns = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.list_(pa.int64())) for c in columns[2:]]], ["host", "content", "token", "at", "v1", "v2"])
+
+
+def in_order(places: list[int]) -> set[int]:
+    """Indexes of a longest ascending subsequence."""
+    if all(a < b for a, b in pairwise(places)):
+        return set(range(len(places)))
+    tails: list[int] = []
+    ends: list[int] = []
+    before = []
+    for i, x in enumerate(places):
+        j = bisect_left(tails, x)
+        tails[j : j + 1], ends[j : j + 1] = [x], [i]
+        before.append(ends[j - 1] if j else -1)
+    held, i = set(), ends[-1]
+    while i >= 0:
+        held.add(i)
+        i = before[i]
+    return held
+
+
+def broken(classes: list[list[int]], at: dict[int, int]) -> list[int]:
+    """Tokens of a page that break their class. classes: each in its order,
+    those of more pages first."""
+    out, outer = [], []
+    for own in classes:
+        if own[0] not in at:
+            continue
+        places = [at[t] for t in own]
+        kept = in_order(places)
+        # a token's slot in each outer class; before and after it are one
+        slots = [tuple(bisect_left(o, x) % len(o) for o in outer) for x in places]
+        size = Counter(slots[i] for i in kept)
+        kept = {i for i in kept if size[slots[i]] >= LEAST_TOKENS}
+        out += [t for i, t in enumerate(own) if i not in kept]
+        if len(kept) >= LEAST_TOKENS:
+            outer.append(sorted(places[i] for i in kept))
+    return out
+
+
+def _broken(batches):
+    """(key, token, n) from (key, token, at, classes)."""
+    for b in batches:
+        known: dict[str, list[list[int]]] = {}
+        found: Counter[tuple[str, int]] = Counter()
+        for i in range(b.num_rows):
+            key = b.column(0)[i].as_py()
+            if key not in known:
+                known[key] = [[t["token"] for t in sorted(c["tokens"], key=lambda t: (t["place"], t["token"]))] for c in sorted(b.column(3)[i].as_py() or [], key=lambda c: (-c["support"], -len(c["tokens"]), c["v1"], c["v2"]))]
+            for t in broken(known[key], dict(zip(b.column(1)[i].as_py(), b.column(2)[i].as_py()))):
+                found[key, t] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([t for _, t in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["key", "token", "n"])
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, tokens) from pages (host, html, page_id): the tokens of
-    each host's valid classes. The row with a null host is the pooled template
-    of hosts with fewer than LEAST_PAGES pages."""
-    rows = materialize(pages.select("host", "html", "page_id").mapInArrow(_counted, "host string, token array<long>, v1 array<long>, v2 array<long>"), "tokens")
-    hosts = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    large = hosts.where(F.col("pages") >= LEAST_PAGES)
-    held = materialize(rows.select("host", F.explode(F.arrays_zip("token", "v1", "v2")).alias("t")).select("host", "t.*").groupBy("host", "token").agg(F.count("*").alias("support"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2")), "vectors")
-    keyed = held.join(large, "host", "left").select(F.when(F.col("pages").isNotNull(), F.col("host")).alias("key"), "pages", "token", "support", "v1", "v2")
+    """(host, pages, tokens) from pages (host, html): the tokens of each host's
+    valid classes The row with a null host is the
+    pooled template of hosts with fewer than LEAST_PAGES pages."""
+    rows = materialize(pages.select("host", "html").mapInArrow(_counted, "host string, content long, token array<long>, at array<long>, v1 array<long>, v2 array<long>"), "tokens")
+    distinct = rows
+    hosts = materialize(distinct.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
     small = hosts.where(F.col("pages") < LEAST_PAGES).agg(F.sum("pages").alias("all")).first()["all"] or 0
-    keyed = keyed.groupBy("key", "token").agg(F.max("pages").alias("pages"), F.sum("support").alias("support"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2")).withColumn("pages", F.coalesce("pages", F.lit(small)))
-    frequent = keyed.where((F.col("support") >= LEAST_PAGES) & (F.col("support") >= F.col("pages") * LEAST_SHARE))
-    classes = frequent.groupBy("key", "v1", "v2").agg(F.max("pages").alias("pages"), F.collect_set("token").alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
-    return classes.groupBy("key").agg(F.max("pages").alias("pages"), F.flatten(F.collect_list("tokens")).alias("tokens")).withColumnRenamed("key", "host")
+    # a key is "h" and the host, or empty for the pool
+    keyed = distinct.join(hosts.where(F.col("pages") >= LEAST_PAGES), "host", "left").withColumn("key", F.when(F.col("pages").isNotNull(), F.concat(F.lit("h"), F.col("host"))).otherwise(F.lit("")))
+    held = keyed.select("key", F.coalesce("pages", F.lit(small)).alias("pages"), F.explode(F.arrays_zip("token", "at", "v1", "v2")).alias("t")).select("key", "pages", "t.*")
+    vectors = held.groupBy("key", "token").agg(F.max("pages").alias("pages"), F.count("*").alias("support"), F.sum("at").alias("at"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"))
+    frequent = vectors.where((F.col("support") >= LEAST_PAGES) & (F.col("support") >= F.col("pages") * LEAST_SHARE))
+    member = F.struct((F.col("at") / F.col("support")).alias("place"), "token")
+    classes = materialize(frequent.groupBy("key", "v1", "v2").agg(F.max("pages").alias("pages"), F.max("support").alias("support"), F.collect_list(member).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS), "classes")
+    nested = classes.groupBy("key").agg(F.collect_list(F.struct("support", "v1", "v2", "tokens")).alias("classes"))
+    size = classes.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    seen = keyed.select("key", "token", "at").join(F.broadcast(nested) if size <= BROADCAST_TOKENS else nested, "key")
+    faults = seen.mapInArrow(_broken, "key string, token long, n long").groupBy("key", "token").agg(F.sum("n").alias("n"))
+    whole = classes.select("key", "v1", "v2", "pages", "support", F.explode("tokens.token").alias("token")).join(faults, ["key", "token"], "left").where("n is null or n <= support * %f" % MOST_BROKEN)
+    valid = whole.groupBy("key", "v1", "v2").agg(F.max("pages").alias("pages"), F.collect_set("token").alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    return valid.groupBy("key").agg(F.max("pages").alias("pages"), F.flatten(F.collect_list("tokens")).alias("tokens")).select(F.when(F.col("key") != "", F.expr("substring(key, 2)")).alias("host"), "pages", "tokens")
 
 
 def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages.
 
     Null html counts as empty and gives an empty text; a null or odd url is of
-    the host "". Repeated rows count as pages of their own and give repeated
-    rows. An empty table gives no rows; other columns are ignored.
+    the host "". Repeated rows give repeated rows. An empty table gives no rows; other columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1), F.lit("")))
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))

@@ -108,6 +108,26 @@ def test_html_template_finds_the_slot(spark):
     assert got[3] == "Part 3 of it is long and free.\nMore 3 words."
 
 
+def articles(spark, bodies, host="http://n.example/x"):
+    rows = [(host if isinstance(host, str) else host(i), f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return [r["text"] for r in sorted(html_template.extract_articles(pages(spark, rows)).collect(), key=lambda r: r["page_id"])]
+
+
+def test_html_fixed_text_in_the_article_goes(spark):
+    body = "<div class='top'>News</div><article><h1>Title {0}</h1><p>Part {0} of it.</p><p>Sign up for our letter</p></article><div class='low'>All rights</div>"
+    got = articles(spark, [body.format(i) for i in range(8)])
+    assert got == [f"Title {i}\nPart {i} of it." for i in range(8)]
+
+
+def test_html_classes_are_ordered_and_nested():
+    assert html_template.in_order([3, 1, 2, 5, 4, 6]) in ({1, 2, 3, 5}, {1, 2, 4, 5})
+    outer, inner, crossing = [1, 2, 3, 4], [11, 12, 13], [21, 22, 23, 24]
+    at = {1: 0, 2: 10, 3: 20, 4: 30, 11: 11, 12: 13, 13: 12, 21: 14, 22: 15, 23: 16, 24: 25}
+    # 12 and 13 are swapped, so too few of the inner class are left; 24 lies alone in another slot
+    assert sorted(html_template.broken([outer, inner, crossing], at)) == [11, 12, 13, 24]
+    assert html_template.broken([outer, inner], {**at, 12: 12, 13: 13}) == []
+
+
 # -- 3 ---------------------------------------------------------------------
 
 
