@@ -4,7 +4,8 @@ Pages are token streams of tags (with class, id and role) and whole text
 blocks. A token's occurrence vector holds its count in every page of a host;
 tokens with equal vectors are an equivalence class. Vectors are never built:
 per (host, token) the hashes of (page, count) are summed, so equal sums mean
-equal vectors and hot hosts are pre-aggregated. A class needs enough pages and enough tokens. Then each page tells
+equal vectors and hot hosts are pre-aggregated. Copies of a page on a host
+count once. A class needs enough pages and enough tokens. Then each page tells
 which tokens break their class: those out of the class's order (by mean
 position), and those that lie alone in a slot of a class with more pages, so
 that a class which spans several slots falls into the parts that nest. Classes
@@ -16,7 +17,8 @@ A page's article is the text of its slots without the fixed text, in menus,
 headers, footers, sidebars, notices, adverts, forms, comments, scripts and
 styles (fixed tag and word lists) never. `article` or `main` choose the slots
 where a page has them; elsewhere it is the innermost template element that
-holds most of the free text.
+holds every slot with a share of the text. A page that the template would
+leave empty keeps its fixed text.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from .common import materialize
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 3, 0.5, 3
 #: A token stays in its class if at most so many of its pages break it.
 MOST_BROKEN = 0.1
+#: A slot with this share of a page's free text belongs to the article.
+LEAST_SLOT = 0.05
 #: Templates up to so many tokens in all go to every task, larger ones are joined.
 BROADCAST_TOKENS = 4_000_000
 
@@ -172,17 +176,18 @@ def main_text(page: str, template: frozenset[int]) -> str:
     if chosen:
         roots = set(map(id, chosen))
         open_ = [(e, t) for e, t in open_ if any(id(up) in roots for up in _above(e, own=True))]
-    free = [(e, t) for e, t in open_ if _token(f"#{t}") not in template]
+    free = [(e, t) for e, t in open_ if _token(f"#{t}") not in template] or open_
     if not chosen:
         # a tag that comes again in the page is part of a slot's content
         times = Counter(e.token for e in elements)
         chains = [[up for up in _above(e, own=True) if up.token in template and times[up.token] == 1] for e, _ in free]
         chars: Counter[int] = Counter()
         for chain, (_, t) in zip(chains, free):
-            chars.update({id(up): len(t) for up in chain})
-        total = sum(len(t) for _, t in free)
-        region = next((e for e in reversed(elements) if chars[id(e)] * 2 > total), None)
-        free = [x for chain, x in zip(chains, free) if region is None or any(region is up for up in chain)]
+            chars[id(chain[0]) if chain else 0] += len(t)
+        large = [chain for chain in chains if chars[id(chain[0]) if chain else 0] >= LEAST_SLOT * chars.total()]
+        if large:
+            region = next((e for e in large[0] if all(any(e is up for up in chain) for chain in large[1:])), None)
+            free = [x for chain, x in zip(chains, free) if region is None or any(region is up for up in chain)]
     return "\n".join(t for _, t in free)
 
 
@@ -260,17 +265,21 @@ def _broken(batches):
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """(host, pages, tokens) from pages (host, html): the tokens of each host's
-    valid classes The row with a null host is the
-    pooled template of hosts with fewer than LEAST_PAGES pages."""
-    rows = materialize(pages.select("host", "html").mapInArrow(_counted, "host string, content long, token array<long>, at array<long>, v1 array<long>, v2 array<long>"), "tokens")
-    distinct = rows
+    valid classes; pages are distinct ones. The row with a null host is the
+    pooled template of hosts with fewer than LEAST_PAGES pages. Its tags need
+    no share of all those pages, which are of many layouts; its fixed text
+    does, as an article that many hosts carry is no template."""
+    rows = materialize(pages.select("host", "html").mapInArrow(_counted, "host string, content long, token array<long>, at array<long>, v1 array<long>, v2 array<long>").withColumn("row", F.monotonically_increasing_id()), "tokens")
+    copies = materialize(rows.groupBy("host", "content").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").drop("n"), "copies")
+    distinct = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_TOKENS else copies, ["host", "content"], "left").where("first is null or row = first")
     hosts = materialize(distinct.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
     small = hosts.where(F.col("pages") < LEAST_PAGES).agg(F.sum("pages").alias("all")).first()["all"] or 0
     # a key is "h" and the host, or empty for the pool
     keyed = distinct.join(hosts.where(F.col("pages") >= LEAST_PAGES), "host", "left").withColumn("key", F.when(F.col("pages").isNotNull(), F.concat(F.lit("h"), F.col("host"))).otherwise(F.lit("")))
     held = keyed.select("key", F.coalesce("pages", F.lit(small)).alias("pages"), F.explode(F.arrays_zip("token", "at", "v1", "v2")).alias("t")).select("key", "pages", "t.*")
     vectors = held.groupBy("key", "token").agg(F.max("pages").alias("pages"), F.count("*").alias("support"), F.sum("at").alias("at"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"))
-    frequent = vectors.where((F.col("support") >= LEAST_PAGES) & (F.col("support") >= F.col("pages") * LEAST_SHARE))
+    pooled_tag = (F.col("key") == "") & (F.pmod("token", F.lit(2)) == 0)
+    frequent = vectors.where((F.col("support") >= LEAST_PAGES) & (pooled_tag | (F.col("support") >= F.col("pages") * LEAST_SHARE)))
     member = F.struct((F.col("at") / F.col("support")).alias("place"), "token")
     classes = materialize(frequent.groupBy("key", "v1", "v2").agg(F.max("pages").alias("pages"), F.max("support").alias("support"), F.collect_list(member).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS), "classes")
     nested = classes.groupBy("key").agg(F.collect_list(F.struct("support", "v1", "v2", "tokens")).alias("classes"))
@@ -286,7 +295,7 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     """(page_id, url, text, n_chars) per row of pages.
 
     Null html counts as empty and gives an empty text; a null or odd url is of
-    the host "". Repeated rows give repeated rows. An empty table gives no rows; other columns are ignored.
+    the host "". Repeated rows give repeated rows; for the template equal pages of a host are one. An empty table gives no rows; other columns are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1), F.lit("")))
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))

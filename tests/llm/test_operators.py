@@ -119,6 +119,27 @@ def test_html_fixed_text_in_the_article_goes(spark):
     assert got == [f"Title {i}\nPart {i} of it." for i in range(8)]
 
 
+def test_html_copies_are_one_page(spark):
+    body = "<div class='top'>Daily News</div><div class='col'><h1>Head {0}</h1><p>Part {0} of it.</p><p>More {0} words.</p></div><div class='low'>All rights reserved</div>"
+    copies = articles(spark, [body.format(0)] * 4)
+    assert all("Head 0\nPart 0 of it.\nMore 0 words." in x for x in copies)
+    half = articles(spark, [body.format(0)] * 6 + [body.format(i) for i in range(1, 6)])
+    assert half == [f"Head {i}\nPart {i} of it.\nMore {i} words." for i in [0] * 6 + [1, 2, 3, 4, 5]]
+
+
+def test_html_slots_of_two_sections(spark):
+    body = "<div class='top'>Daily News</div><div class='left'><p>{0} " + "long words " * 6 + "</p></div><div class='right'><p>{0} " + "more words " * 4 + "</p></div><div class='low'>All rights reserved</div>"
+    got = articles(spark, [body.format(i) for i in range(8)])
+    assert got == [f"{i} {'long words ' * 6}".strip() + f"\n{i} {'more words ' * 4}".rstrip() for i in range(8)]
+
+
+def test_html_pool_of_small_hosts(spark):
+    """Three layouts, none on half of the hosts: each gets its slot."""
+    body = "<div class='w{1}'><div class='bar{1}'><p>now {0}</p></div><div class='col{1}'><p>Part {0} of it is long and free, " + "with many more words, " * 5 + "all told.</p></div></div>"
+    got = articles(spark, [body.format(i, i % 3) for i in range(12)], lambda i: f"http://s{i}.example/")
+    assert all(x.startswith(f"Part {i} of") for i, x in enumerate(got))
+
+
 def test_html_classes_are_ordered_and_nested():
     assert html_template.in_order([3, 1, 2, 5, 4, 6]) in ({1, 2, 3, 5}, {1, 2, 4, 5})
     outer, inner, crossing = [1, 2, 3, 4], [11, 12, 13], [21, 22, 23, 24]
