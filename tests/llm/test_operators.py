@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import random
@@ -445,6 +446,25 @@ def test_compression_rules(spark):
     assert compression.compression_rules(documents(spark, ["x"]).where("false")).count() == 0
 
 
+def test_compression_rejects_codes(spark):
+    """base64, hexadecimal and random words, whole and as half of a text."""
+    r = random.Random(99)
+    size = 24_000
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    syllables = ["".join(r.choices(letters, k=r.randint(2, 4))) for _ in range(60)]
+    prose = lambda n: " ".join("".join(r.choices(syllables, k=r.randint(1, 3))) for _ in range(n // 7))[:n]
+    codes = [
+        base64.encodebytes(r.randbytes(size)).decode()[:size],
+        " ".join(f"{r.getrandbits(64):016x}" for _ in range(size // 17)),
+        " ".join("".join(r.choices(letters + letters.upper() + "0123456789", k=r.randint(4, 12))) for _ in range(size // 9)),
+        " ".join("".join(r.choices(letters, k=r.randint(4, 12))) for _ in range(size // 9)),
+    ]
+    texts = codes + [prose(size // 2) + " " + c[: size // 2] + " " + prose(size // 4) for c in codes] + [prose(n) for n in (500, 1500, 3000, 4097, 6000, size, 2 * size)]
+    got = {x["doc_id"]: x for x in compression.compression_rules(documents(spark, texts)).collect()}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert [got[i]["in_bands"] for i in sorted(got)] == [False] * 8 + [True] * 7
+
+
 # -- 10 --------------------------------------------------------------------
 
 
