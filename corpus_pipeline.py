@@ -1,12 +1,15 @@
 """A training-corpus pipeline: five stages over documents.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept. Rows without a doc_id can't be named by a stage that decides by id: they
-pass the near-duplicate and benchmark stages.
+kept. Stages that decide by id name rows without a doc_id by ids beyond all
+others, so these are judged as well, and a row with an id stays before them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +26,30 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
+def naming(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage over docs whose null ids are replaced while it runs."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        loose = docs.where("doc_id is null")
+        if loose.isEmpty():
+            return stage(spark, docs, sf_dir)
+        top = docs.agg(F.max("doc_id")).first()[0]
+        top = -1 if top is None else top
+        # written, so that every read of a row finds the same id
+        named = materialize(loose.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(top) + 1), "loose")
+        kept = stage(spark, docs.where("doc_id is not null").unionByName(named), sf_dir)
+        return kept.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
+
+    return run
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     forest = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.score_column(F.col("text"), forest) >= 0.3)
 
 
+@naming
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8; the least id of a group stays, once."""
     groups = materialize(jaccard_join.jaccard_components(docs, shingle=5, num=80, den=100), "groups")
@@ -39,6 +61,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return without(kept, repeated).unionByName(again)
 
 
+@naming
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, decontamination.contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 

@@ -59,3 +59,17 @@ def test_stages(spark, folder, tmp_path):
     assert not set(range(2000, 2004)) & set(kept[2]) and {k for k in range(240) if k % 4} <= set(kept[2])
     assert docs.count() == len(kept[3]) and {r["shard"] for r in docs.collect()} <= set(range(16))
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_rows_without_an_id_are_judged(spark, tmp_path):
+    r = random.Random(7)
+    prose = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    item, one, two, three = prose(30), prose(80), prose(80), prose(80)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(5, one), (None, one + " tail"), (None, two), (None, two), (None, three), (None, prose(40) + " " + item), (6, prose(40) + " " + item)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    near = [tuple(x) for x in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(str, near)) == sorted(map(str, [texts[0], texts[2], *texts[4:]]))
+    clean = [tuple(x) for x in corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(map(str, clean)) == sorted(map(str, texts[:5]))
