@@ -10,11 +10,14 @@ the largest such D of the band: at least s+1 blocks agree entirely, so the XOR
 of some block's hashes is equal (pigeonhole). Of its blocks a set leaves out
 those with at most c shingles, where c is the largest value for which that
 drops no more than s; of the s+1 agreeing blocks one is therefore sent by
-both sides. No link is lost.
+both sides. Every linked pair shares a block.
 
 Members of a block are compared with its leader, and with each other only if
 their differences from the leader have enough in common. Pairs pass size and
-Hamming bounds and are verified on the whole shingle arrays.
+Hamming bounds and are verified on the whole shingle arrays. Two members that
+both link to the leader are connected by it and not verified against each
+other: the components are exact, the list of links isn't whole, and no number
+of links is given.
 """
 
 from __future__ import annotations
