@@ -3,53 +3,67 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-
 _own: str | None = None
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where
-    it is unset, as in local tests, a temporary one that goes at exit."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where
+    it is unset, a local master gets a folder of its own that goes at exit; any
+    other is an error, as executors would miss the driver's folder."""
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="quayside-")
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
     return f"file://{_own}"
 
 
+@contextmanager
+def shuffles_end_with_queries(spark: SparkSession) -> Iterator[None]:
+    """While this is open Spark deletes a query's shuffle files as it ends."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and read it back. This cuts the
     lineage: what is lost with an executor is read again from the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
+    with shuffles_end_with_queries(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more, and have the driver
-    collect garbage: the files of ended shuffles go with their last reference,
-    which a driver with free memory may hold for long."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
     for t in tables:
-        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-    jvm.System.gc()
+        spark = t.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def word_count(text: Column) -> Column:
@@ -79,7 +93,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     e = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), name)
     before = state(e)
     while before[0]:
-        e = materialize(star(star(e, True), False), name)
+        last, e = e, materialize(star(star(e, True), False), name)
+        release(last)
         now = state(e)
         if now == before:
             break

@@ -12,10 +12,12 @@ those with at most c shingles, where c is the largest value for which that
 drops no more than s; of the s+1 agreeing blocks one is therefore sent by
 both sides. Every linked pair shares a block.
 
-Members of a block are compared with its leader, and with each other only if
-their differences from the leader have enough in common. Pairs pass size and
-Hamming bounds and are verified on the whole shingle arrays. Two members that
-both link to the leader are connected by it and not verified against each
+Members of a large block are compared with its leader, and with each other only
+if their differences from the leader have enough in common. Members far from
+every leader meet again by their rarest shingles (prefix filter, in the order
+of counts among themselves). Candidates pass size and Hamming bounds within the
+join that makes them and are verified on the whole shingle arrays. Two members
+that both link to the leader are connected by it and not verified against each
 other: the components are exact, the list of links isn't whole, and no number
 of links is given.
 """
@@ -27,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release
+from .common import connected_components, materialize, release, shuffles_end_with_queries
 
 #: Above this many ids the text scan is joined, not filtered by a broadcast set.
 BROADCAST_IDS = 4_000_000
@@ -39,6 +41,7 @@ BROADCAST_SHINGLES = 4_000_000  # 32 MB
 #: Members of a large group that show which differences are common in it.
 SHOWN = 12
 SKETCH_WORDS = 16  # least size of a parity sketch: 1,024 cells
+FOLD = 8  # words of the sketch that rows carry into a join of candidates
 #: Around a leader, up to so many members are simply paired.
 SMALL = 16
 CACHE = 500_000
@@ -135,6 +138,11 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(cell.astype(np.uint8)).view(np.int64)
 
 
+def folded_sketch(marks: np.ndarray) -> np.ndarray:
+    """The sketch of FOLD words that a wider one folds to."""
+    return np.bitwise_xor.reduce(marks.reshape(-1, FOLD), axis=0)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[object, bytes]]:
     ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
     for i in range(len(ids)):
@@ -173,6 +181,10 @@ def _set_rows(n: int):
         hashes = WordHashes()
         for batch in batches:
             ids, sets, marks, held = [], [], [], 0
+
+            def made():
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([folded_sketch(m) for m in marks]), _lists(marks), _lists(sets)], ["node", "n", "fold", "marks", "shingles"])
+
             for key, text in _texts(batch):
                 s = shingle_set(text, hashes, n)
                 ids.append(key)
@@ -180,10 +192,10 @@ def _set_rows(n: int):
                 marks.append(sketch(s))
                 held += len(s)
                 if held > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(marks), _lists(sets)], ["node", "marks", "shingles"])
+                    yield made()
                     ids, sets, marks, held = [], [], [], 0
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(marks), _lists(sets)], ["node", "marks", "shingles"])
+                yield made()
 
     return run
 
@@ -193,28 +205,29 @@ def _side(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def _with_arrays(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) with shingles_a and shingles_b. Up to bounds that
-    are checked, pairs and the arrays of side a (leaders are few) go to where
-    the arrays of side b are read, and no array is shuffled."""
-    pairs = materialize(pairs, "pairs")
+    """The pairs (a, b, ...), a written table, with shingles_a and shingles_b.
+    Up to bounds that are checked, pairs and the arrays of side a (leaders are
+    few) go to where the arrays of side b are read, and no array is shuffled."""
     arrays = sets.select("node", "shingles")
-    ids = materialize(pairs.select(F.col("a").alias("node")).distinct(), "ids")
-    firsts = arrays.join(_held(ids), "node", "left_semi").withColumnsRenamed({"node": "a", "shingles": "shingles_a"})
-    size = sets.join(_held(ids), "node", "left_semi").agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    ids = _held(pairs.select(F.col("a").alias("node")).distinct())
+    firsts = arrays.join(ids, "node", "left_semi").withColumnsRenamed({"node": "a", "shingles": "shingles_a"})
+    size = sets.select("node", "n").join(ids, "node", "left_semi").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     few = pairs.count() <= BROADCAST_PAIRS
     seconds = arrays.withColumnsRenamed({"node": "b", "shingles": "shingles_b"})
     met = seconds.join(F.broadcast(pairs) if few else pairs, "b")
     return met.join(F.broadcast(firsts) if size <= BROADCAST_SHINGLES else firsts, "a")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, reach: int = 1) -> DataFrame:
-    """Pairs (a, b) with sizes n_a, n_b, their symmetric difference `apart` and
-    `linked`. Pairs whose sketches or sizes already show more than `reach` times
-    the difference of linked sets of up to twice n_a shingles come without an
-    exact figure: apart is null, linked false."""
-    light = sets.select("node", F.size("shingles").alias("n"), "marks")
+def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str, reach: int = 1) -> DataFrame:
+    """A written table of the pairs (a, b) with sizes n_a, n_b, their symmetric
+    difference `apart` and `linked`. Pairs whose sketches or sizes already show
+    more than `reach` times the difference of linked sets of up to twice n_a
+    shingles come without an exact figure: apart is null, linked false; with a
+    reach of 1 they are left out."""
+    light = sets.select("node", "n", "marks")
     near = _side(_side(pairs, light, "a"), light, "b")
-    def folded(own: str, other: str):
+
+    def folded(own: str, other: str) -> Column:
         n = F.size(other)
         halves = F.zip_with(F.slice(own, F.lit(1), n), F.slice(own, n + 1, n), lambda x, y: x.bitwiseXOR(y))
         return F.when(F.size(own) == 2 * n, halves).otherwise(F.col(own))
@@ -225,10 +238,34 @@ def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, reach: int
     bound = reach * F.floor(4 * F.col("n_a") * (den - num) / (den + num)) if reach > 1 else F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
     near = near.withColumn("open", (flipped <= bound) & (F.abs(F.col("n_a") - F.col("n_b")) <= bound)).drop("marks_a", "marks_b")
     near = materialize(near if reach > 1 else near.where("open"), "near")
-    far = near.where("NOT open").select("a", "b", "n_a", "n_b", F.lit(None).cast("long").alias("apart"), F.lit(False).alias("linked"))
-    both = _with_arrays(near.where("open").drop("open"), sets).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
+    open_ = materialize(near.where("open").drop("open"), "open") if reach > 1 else near
+    both = _with_arrays(open_, sets).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
     exact = both.select("a", "b", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("apart"), (F.col("common") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("linked"))
-    return exact.unionByName(far) if reach > 1 else exact
+    if reach > 1:
+        exact = exact.unionByName(near.where("NOT open").select("a", "b", "n_a", "n_b", F.lit(None).cast("long").alias("apart"), F.lit(False).alias("linked")))
+    out = materialize(exact, name)
+    release(near, *[open_] * (reach > 1))
+    return out
+
+
+def _carried(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """rows with what alike() needs of the node in `key`: n and f0, f1, ..."""
+    light = sets.select(F.col("node").alias(key), "n", *[F.col("fold")[i].alias(f"f{i}") for i in range(FOLD)])
+    return rows.join(F.broadcast(light) if light.count() <= BROADCAST_PAIRS // 2 else light, key)
+
+
+def _pairs_alike(rows: DataFrame, on: list[str], num: int, den: int, mark: Column | None = None) -> DataFrame:
+    """Distinct (a, b), a < b, of nodes that share `on` and whose sizes and
+    folded sketches allow a link. rows: (*on, node, n, f0, f1, ...). Both tests
+    are part of the join's condition: far pairs never leave it. mark: a boolean
+    of rows; pairs for which both sides are true are left out."""
+    carried = ["n", *[f"f{i}" for i in range(FOLD)], "marked"]
+    rows = rows.withColumn("marked", F.lit(False) if mark is None else mark)
+    x, y = (rows.select(*[F.col(c).alias(f"on_{c}") for c in on], F.col("node").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in carried]) for p in "ab")
+    bound = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
+    flipped = sum((F.bit_count(F.col(f"f{i}_a").bitwiseXOR(F.col(f"f{i}_b"))) for i in range(FOLD)), F.lit(0))
+    near = (F.col("a") < F.col("b")) & ~(F.col("marked_a") & F.col("marked_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= bound) & (flipped <= bound)
+    return x.join(y, [f"on_{c}" for c in on]).where(near).select("a", "b").distinct()
 
 
 def _delta_pairs(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -246,72 +283,91 @@ def _delta_pairs(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     grouped = materialize(stars.where("apart > 0").join(open_, "a"), "groups")
 
     def met(rows: DataFrame, on: list[str]) -> DataFrame:
-        x, y = (rows.select(*on, F.col("b").alias(f"b{i}"), F.col("linked").alias(f"linked{i}")) for i in (1, 2))
-        return x.join(y, on).where("b1 < b2 AND NOT (linked1 AND linked2)").select(F.col("b1").alias("a"), F.col("b2").alias("b"))
+        return _pairs_alike(_carried(rows.select(*on, F.col("b").alias("node"), "linked"), sets, "node"), on, num, den, F.col("linked"))
 
     few = met(grouped.where("NOT large"), ["a"])  # at most SMALL / 2 pairs a member
-    held = grouped.where("large").withColumn("take", (d - t + 1).cast("int")).where("take > 0").select("a", "b", "linked", "take")
+    held = materialize(grouped.where("large").withColumn("take", (d - t + 1).cast("int")).where("take > 0").select("a", "b", "linked", "take"), "held")
     delta = F.concat(F.array_except("shingles_b", "shingles_a"), F.array_except("shingles_a", "shingles_b"))
     both = _with_arrays(held, sets).select("a", "b", "linked", "take", delta.alias("delta"))
     # any order that depends on leader and element alone is right; what several
     # of a few members show comes last
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
-    shown = _with_arrays(held.select("a", "b").withColumn("place", place).where(F.col("place") <= SHOWN), sets)
-    seen = shown.select("a", delta.alias("delta")).groupBy("a").agg(F.array_sort(F.flatten(F.collect_list("delta"))).alias("all"))
+    some = materialize(held.select("a", "b").withColumn("place", place).where(F.col("place") <= SHOWN), "some")
+    seen = _with_arrays(some, sets).select("a", delta.alias("delta")).groupBy("a").agg(F.array_sort(F.flatten(F.collect_list("delta"))).alias("all"))
     common = seen.select("a", F.expr("array_distinct(filter(transform(all, (x, i) -> if(i > 0 AND x = all[i - 1], x, NULL)), x -> x IS NOT NULL))").alias("common"))
     common = materialize(common, "common")
     ordered = F.concat(F.array_sort(F.array_except("delta", "common")), F.array_sort(F.array_intersect("delta", "common")))
     width_ = common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]
     prefix = both.join(F.broadcast(common) if width_ <= BROADCAST_SHINGLES else common, "a").select("a", "b", "linked", F.explode(F.slice(ordered, F.lit(1), F.col("take"))).alias("e"))
-    return met(prefix, ["a", "e"]).unionByName(few).distinct()
-
-
-def _links(blocks: DataFrame, sets: DataFrame, num: int, den: int, rounds: int) -> DataFrame:
+    out = materialize(met(prefix, ["a", "e"]).unionByName(few).distinct(), "inner")
+    release(grouped, held, some, common)
+    return out
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs among the nodes that share one of their rarest shingles. A link
+    needs num/den of either set in common, so the n - ceil(n num / den) + 1
+    first elements of both sets in one order meet. The order is the count among
+    the nodes: what all of them share comes last and is rarely in a prefix."""
+    own = sets.join(_held(nodes), "node", "left_semi")
+    held = materialize(own.select("node", "n", F.explode("shingles").alias("e")), "elements")
+    counts = held.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
+    rated = held.join(counts, "e", "left").select("node", "n", F.struct(F.coalesce("c", F.lit(1)).alias("c"), "e").alias("e"))
+    take = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
+    first = rated.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("e")).alias("all")).select("node", F.explode(F.slice("all", F.lit(1), take)).alias("e"))
+    rare = materialize(first.where("e.c > 1").select("node", F.col("e.e").alias("e")), "prefixes")
+    out = materialize(_pairs_alike(_carried(rare, sets, "node"), ["e"], num, den), "rest")
+    release(held, rare)
+    return out
+
+
+def _links(pairs: DataFrame, sized: DataFrame, sets: DataFrame, num: int, den: int, rounds: int) -> DataFrame:
     """Every link among nodes that share a block, or enough links to connect
-    what is linked. blocks: (sig, rep).
+    what is linked. pairs (a, b): blocks of two members; sized (sig, rep, c):
+    members of those of c > 2.
 
     Blocks of at most SMALL members pair all of them. In a round each larger
     block is led by the member that shares most blocks with others. With D the
     largest difference of linked sets around a leader, members within 2D of it
     are compared by their differences from it, those beyond D go on to the
-    next round: a pair that neither covers is more than D apart. After the
-    last round what remains in a block is paired.
+    next round: a pair that neither covers is more than D apart. What remains
+    after the last round meets by its rarest shingles.
     """
-    sized = materialize(blocks.join(blocks.groupBy("sig").agg(F.count("*").alias("c")), "sig"), "sized")
     x, y = (sized.where(F.col("c") <= SMALL).select("sig", F.col("rep").alias(p)) for p in "ab")
-    near = x.join(y, "sig").where("a < b").select("a", "b").distinct()  # at most SMALL / 2 rows a member
-    small = materialize(_measured(near, sets, num, den).where("linked").select("a", "b"), "links")
+    near = materialize(x.join(y, "sig").where("a < b").select("a", "b").unionByName(pairs).distinct(), "pairs")  # at most SMALL / 2 rows a member
+    small = _measured(near, sets, num, den, "links")
+    release(near)
+    found = small.where("linked").select("a", "b")
     blocks = materialize(sized.where(F.col("c") > SMALL).select("sig", "rep"), "blocks")
-    found = small
-    release(blocks.sparkSession, sized)
     for _ in range(rounds):
         if blocks.isEmpty():
             return found
-        sized = blocks.join(blocks.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig")
-        rated = sized.groupBy("rep").agg(F.sum("c").alias("popular"))
+        shared = blocks.join(blocks.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig")
+        rated = shared.groupBy("rep").agg(F.sum("c").alias("popular"))
         lead = blocks.join(rated, "rep").groupBy("sig").agg(F.max(F.struct("popular", (-F.col("rep")).alias("low"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("sig", (-F.col("m.low")).alias("leader"))
         led = materialize(blocks.join(lead, "sig").where("rep <> leader"), "led")
-        stars = materialize(_measured(led.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), sets, num, den, reach=2), "stars")
-        own = stars.where("linked").select("a", "b")
-        inner = _measured(_delta_pairs(stars.where("apart IS NOT NULL"), sets, num, den), sets, num, den).where("linked").select("a", "b")
-        links = materialize(own.unionByName(inner), "links")
-        found = found.unionByName(links)
-        release(blocks.sparkSession)
+        to_leader = materialize(led.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+        stars = _measured(to_leader, sets, num, den, "stars", reach=2)
+        inner = _delta_pairs(stars.where("apart IS NOT NULL"), sets, num, den)
+        links = _measured(inner, sets, num, den, "links")
+        found = found.unionByName(materialize(stars.where("linked").select("a", "b").unionByName(links.where("linked").select("a", "b")), "links"))
         radius = F.floor(4 * F.col("n_a") * (den - num) / (den + num))
         far = stars.where(F.col("apart").isNull() | (F.col("apart") > radius)).select(F.col("a").alias("leader"), F.col("b").alias("rep"))
-        left = led.join(far, ["leader", "rep"], "left_semi").select("sig", "rep")
+        left = materialize(led.join(far, ["leader", "rep"], "left_semi").select("sig", "rep"), "left")
+        release(blocks, to_leader, inner, links, stars, led)
         blocks = materialize(left.join(left.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig", "left_semi"), "blocks")
-    x, y = (blocks.select("sig", F.col("rep").alias(p)) for p in "ab")
-    rest = x.join(y, "sig").where("a < b").select("a", "b").distinct()
-    return found.unionByName(_measured(rest, sets, num, den).where("linked").select("a", "b"))
+        release(left)
+    rest = _prefix_pairs(blocks.select(F.col("rep").alias("node")).distinct(), sets, num, den)
+    release(blocks)
+    return found.unionByName(_measured(rest, sets, num, den, "links").where("linked").select("a", "b"))
 
 
-def _held(ids: DataFrame) -> DataFrame:
-    """A set of ids for a semi join: broadcast up to BROADCAST_IDS."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _held(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A set of ids for a join: broadcast up to `most` rows."""
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs: links join texts
     whose shingle sets have intersection * den >= num * union.
 
@@ -321,7 +377,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     class's, or null). Rows that share an id are one document. Repeated rows
     each give a row. An empty table gives no rows; other columns are ignored.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with shuffles_end_with_queries(docs.sparkSession):
+        return _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), shingle, num, den, rounds)
+
+
+def _components(own: DataFrame, shingle: int, num: int, den: int, rounds: int) -> DataFrame:
     signed = materialize(own.mapInArrow(_class_rows(shingle, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>"), "signed")
     key = ["n", "h1", "h2"]
     rows = materialize(signed.drop("sigs"), "rows")
@@ -329,19 +389,20 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     reps = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     # copies collapse before anything is compared
     leads = materialize(reps.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "leads")
-    classes = filled.join(_held(leads), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sigs")
-    w = Window.partitionBy("sig").orderBy("rep")
-    sent = classes.select("rep", F.explode("sigs").alias("sig")).withColumns({"before": F.lag("rep").over(w), "next": F.lead("rep").over(w)})
-    shared = materialize(sent.where("before <> rep or next <> rep").select("sig", "rep").distinct(), "blocks")
-    release(docs.sparkSession, signed)
-
-    ids = materialize(shared.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    sets = own.join(_held(ids), "doc_id", "left_semi").mapInArrow(_set_rows(shingle), "node long, marks array<long>, shingles array<long>")
+    sent = filled.join(_held(leads), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("sigs").alias("sig"))
+    # a block of any size is one row of partial sums; blocks of two are pairs already
+    met = materialize(sent.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("c")).where("a <> b"), "met")
+    sized = materialize(sent.join(_held(met.where("c > 2").select("sig", "c"), BROADCAST_PAIRS), "sig").distinct(), "sized")
+    pairs = materialize(met.where("c = 2").select("a", "b").distinct(), "pairs")
+    release(signed, leads, met)
+
+    ids = materialize(sized.select(F.col("rep").alias("doc_id")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct(), "ids")
+    sets = own.join(_held(ids), "doc_id", "left_semi").mapInArrow(_set_rows(shingle), "node long, n long, fold array<long>, marks array<long>, shingles array<long>")
     if not rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         sets = sets.dropDuplicates(["node"])
     sets = materialize(sets, "shingles")
-
-    comps = connected_components(_links(shared, sets, num, den, rounds))
+    comps = connected_components(_links(pairs, sized, sets, num, den, rounds))
+    release(ids, sets, pairs, sized)
 
     named = rows.where("n > 0").select("doc_id", *key).join(reps, key).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return named.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
