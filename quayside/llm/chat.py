@@ -85,7 +85,7 @@ def table_events(rows: DataFrame) -> DataFrame:
     counted = rows.groupBy("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).count()
     again = F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy")
     one = counted.select("conv_id", "turn", "role", "text", again)
-    return one.select("conv_id", F.struct("role", "text", "copy").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    return one.select("conv_id", F.struct("turn", "role", "text", "copy").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
 def digests(rendered: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ N, LEAST = 3, 0.5
 RARE_DOCS = 4096
 MATCH, MISMATCH, GAP = 2, -1, -1
 CACHE = 500_000
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(token: bytes) -> str:
@@ -58,21 +59,21 @@ class Block:
             if len(words) >= n:
                 self.ids.append(item)
                 self.items.append(np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.int64))
-        self.base = np.int64(len(self.words) + 1)
         coded = [self.codes(x) for x in self.items]
         self.grams = np.unique(np.concatenate(coded)) if coded else np.empty(0, np.int64)
         self.at = [np.searchsorted(self.grams, c) for c in coded]
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
-        """One number per n-gram, -1 where a word is of no item."""
+        """A 63-bit hash per n-gram, -1 where a word is of no item. Two n-grams
+        of one hash would add seeds, and alignments that find nothing."""
         m = len(ids) - self.n + 1
         if m <= 0:
             return np.empty(0, np.int64)
-        out, known = np.zeros(m, np.int64), np.ones(m, bool)
+        out, known = np.zeros(m, np.uint64), np.ones(m, bool)
         for i in range(self.n):
-            out = out * self.base + ids[i : m + i]
+            out = (out ^ (out >> np.uint64(29))) * FACTOR + ids[i : m + i].astype(np.uint64)
             known &= ids[i : m + i] > 0
-        return np.where(known, out, -1)
+        return np.where(known, (out >> np.uint64(1)).astype(np.int64), -1)
 
     def numbers(self, raw: bytes, vocabulary: Vocabulary) -> np.ndarray:
         ids = np.fromiter(map(vocabulary.__getitem__, raw.split()), np.int64)
@@ -124,7 +125,8 @@ def best_passage(item: np.ndarray, text: np.ndarray, starts: list[int], least: f
             continue
         score, end = align(item, window)
         if score / (MATCH * m) > best[0]:
-            best = (score / (MATCH * m), max(0, lo + end - m), lo + end)
+            # backwards from its end, the alignment ends where it began
+            best = (score / (MATCH * m), lo + end - align(item[::-1], window[:end][::-1])[1], lo + end)
     return best
 
 

@@ -18,6 +18,8 @@ from .common import materialize, word_count
 SYMBOLS = "#*$%&|<>!"
 #: Bins of a source's keys; one bin of a source of N documents holds about N/BINS.
 BINS = 16384
+#: Up to so many rows of cut bins go to where the texts are; beyond, texts are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def quality_weight(text: Column) -> Column:
@@ -103,6 +105,8 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     base = materialize(_drawn(docs, seed, id_col, text_col, source_col), "draws")
     plan, tight = plan_mix(base, weights, share, most)
     cut_rows = materialize(tight.groupBy("s", "doc_id", "size").agg(F.max("more").alias("more")), "cut")
+    if cut_rows.count() <= BROADCAST_ROWS:
+        cut_rows = F.broadcast(cut_rows)
     kept = _drawn(docs, seed, id_col, text_col, source_col, F.struct(*names).alias("row"))
     rows = kept.join(plan, F.col("source").eqNullSafe(F.col("s"))).alias("r").join(cut_rows.withColumnsRenamed({"s": "s2", "doc_id": "id2", "size": "size2"}), F.col("s").eqNullSafe(F.col("s2")) & F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("size") == F.col("size2")), "left")
     times = F.col("epochs") + F.when(F.col("bin") < F.col("cut"), 1).when(F.col("bin") == F.col("cut"), F.coalesce("more", F.lit(0))).otherwise(0)

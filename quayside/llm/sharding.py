@@ -2,8 +2,9 @@
 
 A document is a point of metadata. A node of the tree is split along its
 widest dimension at the weighted median of the order (dimension, hash of the
-text, hash of the id), so equal texts stay together unless a cut must pass
-through their group. Medians are found by distributed histograms: a pass sums
+text, hash of the id). A cut that would pass through a group of equal texts
+moves to an end of the group if that is near (SNAP); a group too heavy for that
+is split. Medians are found by distributed histograms: a pass sums
 bytes by (node, one of WIDTH intervals) for every node of a level at once,
 then narrows the interval that holds the median, until it is light enough or
 holds so few rows that their keys settle the cut. The driver holds the splits
@@ -22,6 +23,8 @@ from .common import materialize
 WIDTH = 1024
 #: A cut may miss the median by this share of a shard.
 SLACK = 0.0005
+#: A cut moves by up to this share of a shard to an end of a group of equal texts.
+SNAP = 0.01
 FETCH = 2000
 #: Rows ordered in one task when slots are numbered.
 SLOT_ROWS = 100_000
@@ -60,7 +63,7 @@ def kd_tree(points: DataFrame, dims: list[str], shards: int) -> DataFrame:
     while open_:
         bounds = [f(d).alias(f"{d}_{f.__name__}") for d in dims for f in (F.min, F.max)]
         seen = {r["leaf"]: r for r in points.where("leaf >= 0").groupBy("leaf").agg(F.sum("size").alias("bytes"), *bounds).collect()}
-        allowed = SLACK * sum(r["bytes"] for r in seen.values()) / sum(n.shards for n in open_)
+        shard = sum(r["bytes"] for r in seen.values()) / sum(n.shards for n in open_)
         for i, n in enumerate(open_):
             r = seen.get(i)
             span = {d: (r[f"{d}_max"] - r[f"{d}_min"]) if r else 0 for d in dims}
@@ -71,7 +74,7 @@ def kd_tree(points: DataFrame, dims: list[str], shards: int) -> DataFrame:
         dim = F.element_at(F.array(*dims), _per_leaf([dims.index(n.dim) + 1 for n in open_]).cast("int"))
         keyed = points.withColumn("dim", dim)
         while any(n.bound is None for n in open_):
-            _narrow(keyed.where("leaf >= 0"), open_, allowed)
+            _narrow(keyed.where("leaf >= 0"), open_, SLACK * shard, SNAP * shard)
         b0, b1, b2 = (_per_leaf([[*n.bound, 0, 0][j] for n in open_]) for j in range(3))
         left = (F.col("dim") < b0) | ((F.col("dim") == b0) & ((F.col("h") < b1) | ((F.col("h") == b1) & (F.col("k") < b2))))
         children = [(Node(n.shards // 2, n.first), Node(n.shards - n.shards // 2, n.first + n.shards // 2)) for n in open_]
@@ -85,8 +88,9 @@ def kd_tree(points: DataFrame, dims: list[str], shards: int) -> DataFrame:
     return points
 
 
-def _narrow(rows: DataFrame, open_: list[Node], allowed: float) -> None:
-    """One pass of the search for the nodes' cuts."""
+def _narrow(rows: DataFrame, open_: list[Node], allowed: float, snap: float) -> None:
+    """One pass of the search for the nodes' cuts. A cut may miss its goal by
+    `allowed`, and by `snap` if that keeps equal texts together."""
     stage = _per_leaf([len(n.prefix) for n in open_])
     value = F.when(stage == 0, F.col("dim")).when(stage == 1, F.col("h")).otherwise(F.col("k"))
     p0, p1 = (_per_leaf([n.prefix[j] if len(n.prefix) > j else 0 for n in open_]) for j in (0, 1))
@@ -111,6 +115,8 @@ def _narrow(rows: DataFrame, open_: list[Node], allowed: float) -> None:
         alike = n.step == 1 and len(n.prefix) == len(KEYS)
         if bytes_ <= allowed or alike and count > FETCH:  # cut at the nearer end
             n.bound = [*n.prefix, lo_ if n.goal - total <= total + bytes_ - n.goal else hi_ + 1]
+        elif n.step == 1 and len(n.prefix) == 1 and min(n.goal - total, total + bytes_ - n.goal) <= snap:  # one text: all of it to the nearer side
+            n.bound = [*n.prefix, lo_ if n.goal - total <= total + bytes_ - n.goal else hi_ + 1]
         elif count <= FETCH:
             few[i] = (lo_, hi_)
         elif n.step == 1:  # one value is too heavy: go on within it
@@ -126,11 +132,13 @@ def _narrow(rows: DataFrame, open_: list[Node], allowed: float) -> None:
     for i in few:
         n, total = open_[i], open_[i].before
         ordered = sorted(found[i])
-        for at, (_, bytes_) in enumerate(ordered):
-            if total + bytes_ >= n.goal:
-                break
-            total += bytes_
-        after = at + 1 if total + bytes_ - n.goal < n.goal - total else at
+        upto = [total, *(total := total + bytes_ for _, bytes_ in ordered)]
+        whole = [j for j in range(len(ordered) + 1) if j in (0, len(ordered)) or ordered[j][0][:2] != ordered[j - 1][0][:2]]
+        if len(n.prefix) == len(KEYS) - 1:  # within one text, whose ends were too far
+            whole = []
+        after = min(whole or range(len(upto)), key=lambda j: abs(upto[j] - n.goal))
+        if abs(upto[after] - n.goal) > snap:
+            after = min(range(len(upto)), key=lambda j: abs(upto[j] - n.goal))
         n.bound = ordered[after][0] if after < len(ordered) else [*ordered[-1][0][:2], ordered[-1][0][2] + 1]
 
 
