@@ -1,8 +1,11 @@
 """A training-corpus pipeline: five stages over documents.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept. Stages that decide by id name rows without a doc_id by ids beyond all
-others, so these are judged as well, and a row with an id stays before them.
+kept. Stages that decide by id name rows without a doc_id, or with one that
+repeats, by ids beyond all others: each row is judged by its own text, and a
+row with an id of its own stays before them. The last stage's rows join back to
+documents by doc_id and text_crc32; a document that the mix takes twice is two
+equal rows there.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from quayside.llm import decontamination, jaccard_join, mixing, quality, shardin
 from quayside.llm.common import materialize
 
 BROADCAST_IDS = 4_000_000
+#: Holds a row's id while it has another.
+OWN = "corpus_pipeline_doc_id"
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -27,19 +32,22 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def naming(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage over docs whose null ids are replaced while it runs."""
+    """The stage over docs in which every row has an id of its own: while it
+    runs, null and repeated ids are replaced by ids beyond all others."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        loose = docs.where("doc_id is null")
-        if loose.isEmpty():
+        odd = materialize(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("odd")), "odd")
+        rows = odd.count()
+        if not rows:
             return stage(spark, docs, sf_dir)
-        top = docs.agg(F.max("doc_id")).first()[0]
-        top = -1 if top is None else top
+        top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]
+        held = F.broadcast(odd) if rows <= BROADCAST_IDS else odd
+        met = F.col("doc_id").eqNullSafe(F.col("odd"))
         # written, so that every read of a row finds the same id
-        named = materialize(loose.withColumn("doc_id", F.monotonically_increasing_id() + F.lit(top) + 1), "loose")
-        kept = stage(spark, docs.where("doc_id is not null").unionByName(named), sf_dir)
-        return kept.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
+        named = materialize(docs.join(held, met, "left_semi").withColumns({OWN: F.col("doc_id"), "doc_id": F.monotonically_increasing_id() + F.lit(top) + 1}), "loose")
+        single = docs.join(held, met, "left_anti").withColumn(OWN, F.col("doc_id"))
+        return stage(spark, single.unionByName(named), sf_dir).withColumn("doc_id", F.col(OWN)).drop(OWN)
 
     return run
 
@@ -53,12 +61,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8; the least id of a group stays, once."""
     groups = materialize(jaccard_join.jaccard_components(docs, shingle=5, num=80, den=100), "groups")
-    kept = without(docs, groups.where("doc_id <> component_id"))
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without(kept, repeated).unionByName(again)
+    return without(docs, groups.where("doc_id <> component_id"))
 
 
 @naming
