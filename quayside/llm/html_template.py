@@ -27,6 +27,7 @@ import html
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from itertools import count, pairwise
 
 import pyarrow as pa
@@ -44,7 +45,9 @@ LEAST_SLOT = 0.05
 #: Templates up to so many tokens in all go to every task, larger ones are joined.
 BROADCAST_TOKENS = 4_000_000
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z!?][^<>]*\Z", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>")
+#: A tag whose quotes don't close within so many characters ends at the next `>`.
+LONGEST_TAG = 1 << 14
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _BLANK = re.compile(r"\s+")
 # fixed element and word lists
@@ -63,10 +66,40 @@ CONTENT = ("article", "main")
 
 
 class Element:
-    __slots__ = ("name", "token", "content", "skipped", "parent", "at", "end")
+    """at, end: places of its tags. content: in article or main; skipped: in
+    what is no article."""
+
+    __slots__ = ("name", "token", "content", "skipped", "parent", "at", "end", "depth")
 
     def __init__(self, name, token, content, skipped, parent, at):
         self.name, self.token, self.content, self.skipped, self.parent, self.at, self.end = name, token, content, skipped, parent, at, 0
+        self.depth = parent.depth + 1 if parent else 0
+
+
+def _markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of a closing tag, name, attributes) of tags; of
+    comments and declarations the name is empty. What opens a tag that never
+    ends reaches to the end of the page."""
+    at, last = page.find("<"), page.rfind(">")
+    while at >= 0:
+        after = page[at + 1 : at + 3]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", "", ""
+        elif not re.match("/?[a-zA-Z]|[!?]", after):
+            end = at + 1  # a character of the text
+        elif at > last:
+            end = len(page)
+            yield at, end, "", "", ""
+        elif after[0] in "!?" or not (m := _TAG.match(page, at, min(len(page), at + LONGEST_TAG))):
+            end = page.find(">", at) + 1
+            m = None if after[0] in "!?" else re.match(r"<(/?)([a-zA-Z][^\s/>]*)", page[at : min(end, at + 80)])
+            yield at, end, *((m.group(1), m.group(2), "") if m else ("", "", ""))
+        else:
+            end = m.end()
+            yield at, end, *m.groups()
+        at = page.find("<", end)
 
 
 def _token(text: str) -> int:
@@ -92,49 +125,55 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element | None, str, int
             if text:
                 blocks.append((stack[-1] if stack else None, text, next(place)))
 
-    for m in _MARKUP.finditer(page):
-        if m.start() < at:
+    named: Counter[str] = Counter()  # open elements
+
+    def close() -> Element:
+        named[stack[-1].name] -= 1
+        return stack.pop()
+
+    for start, end, closing, name, given in _markup(page):
+        if start < at:
             continue
-        held.append(page[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
+        held.append(page[at:start])
+        at = end
+        if not name:
             continue
-        name = m.group(2).lower()
+        name = name.lower()
         if name in INLINE and not (name == "br"):
-            inline = {a.lower() for a, _ in _ATTRIBUTE.findall(m.group(3) or "")}
-            if not inline & {"hidden", "class", "id"} or m.group(1):
-                if not (m.group(1) and any(e.name == name for e in stack[-3:])):
+            inline = {a.lower() for a, _ in _ATTRIBUTE.findall(given)}
+            if not inline & {"hidden", "class", "id"} or closing:
+                if not (closing and any(e.name == name for e in stack[-3:])):
                     continue
         if name == "br":
             held.append(" ")
             continue
-        if m.group(1):
-            if any(e.name == name for e in stack):
+        if closing:
+            if named[name]:
                 if name not in INLINE:
                     flush()
                 elif stack[-1].skipped:
                     flush()
                 while stack:
-                    e = stack.pop()
+                    e = close()
                     if e.name == name:
                         e.end = next(place)
                         break
             else:
                 flush()
             continue
-        attributes = {a.lower(): v.strip("\"'").lower() for a, v in _ATTRIBUTE.findall(m.group(3) or "")}
+        attributes = {a.lower(): v.strip("\"'").lower() for a, v in _ATTRIBUTE.findall(given)}
         words = set(re.findall(r"[a-z]+", " ".join(attributes.get(a, "") for a in ("class", "id", "role"))))
         if name in INLINE:
             if not (words & SKIPPED_WORDS or "hidden" in attributes):
                 continue
         flush()
         while stack and stack[-1].name in CLOSED_BY.get(name, ()):
-            stack.pop()
+            close()
         if name in CLOSED_BY["p"] or name not in INLINE and name != "p":
             while stack and stack[-1].name in INLINE:
-                stack.pop()
+                close()
             if stack and stack[-1].name == "p" and name not in INLINE:
-                stack.pop()
+                close()
         parent = stack[-1] if stack else None
         content = bool(parent and parent.content) or name in CONTENT or attributes.get("role") == "main"
         skipped = bool(parent and parent.skipped) or name in SKIPPED or bool(words & SKIPPED_WORDS) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
@@ -142,14 +181,15 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element | None, str, int
             skipped = skipped or name == "header" or bool(words & HEADER_WORDS)
         e = Element(name, _token(f"<{name} {attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}>"), content, skipped, parent, next(place))
         elements.append(e)
-        if name in VOID or (m.group(3) or "").endswith("/"):
+        if name in VOID or given.endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            e.end = next(place) if end else 0
-            at = end.end() if end else len(page)
+            ends = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            e.end = next(place) if ends else 0
+            at = ends.end() if ends else len(page)
             continue
         stack.append(e)
+        named[name] += 1
     held.append(page[at:])
     flush()
     return elements, blocks
@@ -167,35 +207,55 @@ def tokens(page: str) -> dict[int, list[int]]:
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
+    """Every step is one pass over the elements, parents first, or the blocks."""
     elements, blocks = parse(page)
-    chosen = [e for e in elements if e.content and not (e.parent and e.parent.content) and not e.skipped]
-    inner = [e for e in elements if e.name == "article" and not e.skipped and any(p in chosen and p.name != "article" for p in _above(e)) and not any(p.name == "article" for p in _above(e))]
+    tops = {id(e) for e in elements if e.content and not (e.parent and e.parent.content) and not e.skipped}
+    below: set[int] = set()  # in a chosen element that is no article, with no article between
+    inner: set[int] = set()
+    for e in elements:
+        up = e.parent
+        if up and up.name != "article" and (id(up) in below or id(up) in tops):
+            below.add(id(e))
+            if e.name == "article" and not e.skipped:
+                inner.add(id(e))
     if inner:
-        chosen = [e for e in chosen if e.name == "article"] + inner
+        tops = {id(e) for e in elements if id(e) in tops and e.name == "article"} | inner
     open_ = [(e, t) for e, t, _ in blocks if not (e and e.skipped)]
-    if chosen:
-        roots = set(map(id, chosen))
-        open_ = [(e, t) for e, t in open_ if any(id(up) in roots for up in _above(e, own=True))]
+    if tops:
+        inside = _below(elements, tops)
+        open_ = [(e, t) for e, t in open_ if id(e) in inside]
     free = [(e, t) for e, t in open_ if _token(f"#{t}") not in template] or open_
-    if not chosen:
+    if not tops:
         # a tag that comes again in the page is part of a slot's content
         times = Counter(e.token for e in elements)
-        chains = [[up for up in _above(e, own=True) if up.token in template and times[up.token] == 1] for e, _ in free]
+        slot: dict[int, Element | None] = {id(None): None}  # the template element that an element stands in
+        for e in elements:
+            slot[id(e)] = e if e.token in template and times[e.token] == 1 else slot[id(e.parent)]
         chars: Counter[int] = Counter()
-        for chain, (_, t) in zip(chains, free):
-            chars[id(chain[0]) if chain else 0] += len(t)
-        large = [chain for chain in chains if chars[id(chain[0]) if chain else 0] >= LEAST_SLOT * chars.total()]
-        if large:
-            region = next((e for e in large[0] if all(any(e is up for up in chain) for chain in large[1:])), None)
-            free = [x for chain, x in zip(chains, free) if region is None or any(region is up for up in chain)]
+        for e, t in free:
+            chars[id(slot[id(e)])] += len(t)
+        large = list({id(slot[id(e)]): slot[id(e)] for e, _ in free if chars[id(slot[id(e)])] >= LEAST_SLOT * chars.total()}.values())
+        region = large[0] if large else None
+        for other in large[1:]:  # 1 / LEAST_SLOT at most
+            while region is not other and region and other:
+                if region.depth >= other.depth:
+                    region = slot[id(region.parent)]
+                else:
+                    other = slot[id(other.parent)]
+            region = region and other
+        if region:
+            inside = _below(elements, {id(region)})
+            free = [(e, t) for e, t in free if id(e) in inside]
     return "\n".join(t for _, t in free)
 
 
-def _above(e: Element | None, own: bool = False):
-    e = e if own else e.parent
-    while e is not None:
-        yield e
-        e = e.parent
+def _below(elements: list[Element], roots: set[int]) -> set[int]:
+    """The roots and all that stands in them."""
+    found: set[int] = set()
+    for e in elements:
+        if id(e) in roots or e.parent and id(e.parent) in found:
+            found.add(id(e))
+    return found
 
 
 def _counted(batches):

@@ -7,8 +7,10 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -153,6 +155,21 @@ def test_html_classes_are_ordered_and_nested():
 # -- 3 ---------------------------------------------------------------------
 
 
+def test_html_template_decides_on_tagged_pages(spark):
+    x = "<html><body><article><p>Sign up for our letter</p><p>story</p></article></body></html>"
+    said = lambda template: html_template.main_text(x, frozenset(template))
+    assert said([]) == "Sign up for our letter\nstory"
+    assert said([html_template._token("#Sign up for our letter")]) == "story"
+
+
+@pytest.mark.parametrize("broken", ["<a " * 30000, "<div>" * 20000 + "x", '<a "x' * 20000 + ">", "<p title='>" * 10000, "<!--" * 25000, "<article>" * 11000 + "y", "<" * 100000, "</b>" * 25000, "<main><div><article>" * 5000 + "z"])
+def test_html_broken_pages_take_linear_time(broken):
+    began = time.process_time()
+    html_template.main_text(broken, frozenset())
+    html_template.tokens(broken)
+    assert time.process_time() - began < 3
+
+
 def test_quality_learns_and_keeps_to_its_folds(spark):
     r = random.Random(3)
     texts = [" ".join(words(r, 120)) + "." if i % 2 else "BUY!! NOW!! " * 40 for i in range(400)]
@@ -207,6 +224,27 @@ def test_shards(spark):
     assert max(abs(sum(x["size"] for x in v) - mean) for v in by.values()) <= 2 * largest
 
 
+def test_shards_keep_equal_texts_together(spark):
+    r = random.Random(4)
+    texts = [" ".join(words(r, r.randint(5, 60))) for _ in range(900)]
+    texts += [t for t in texts[:200] for _ in range(3)]
+    got = sharding.kd_shards(documents(spark, texts)).collect()
+    of = {}
+    for x in got:
+        of.setdefault(x["text_crc32"], set()).add(x["shard"])
+    assert all(len(v) == 1 for v in of.values())
+    size = [sum(x["size"] for x in got if x["shard"] == i) for i in range(16)]
+    assert max(size) < 1.06 * min(size)
+
+
+def test_shards_split_a_group_that_is_too_heavy(spark):
+    r = random.Random(4)
+    texts = [" ".join(words(r, 20)) for _ in range(300)] + ["the same words " * 7] * 600
+    got = sharding.kd_shards(documents(spark, texts)).collect()
+    size = [sum(x["size"] for x in got if x["shard"] == i) for i in range(16)]
+    assert max(size) < 1.1 * min(size)
+
+
 def test_shards_target_and_edges(spark):
     got = sharding.kd_shards(documents(spark, ["abcd"] * 100), target_bytes=100).collect()
     assert len({x["shard"] for x in got}) == 5
@@ -273,6 +311,16 @@ def test_decontamination_query_names_every_item(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, [(1, 0), (1, 1), (2, 2), (None, 0), (None, 2)]))
 
 
+def test_passages_begin_where_the_alignment_does():
+    item, text = np.arange(1, 21), np.array([0] * 30 + [*range(1, 9), 99, 98, *range(9, 21)] + [0] * 30)
+    assert decontamination.best_passage(item, text, [30, 32], 0.5)[1:] == (30, 52)
+
+
+def test_many_words_in_a_block():
+    block = decontamination.Block([(1, " ".join(f"x{i}" for i in range(3000)))], 3)
+    assert (block.grams >= 0).all() and len(block.grams) == 2998
+
+
 def test_alignment_is_smith_waterman():
     r = random.Random(6)
     for _ in range(30):
@@ -320,6 +368,33 @@ def test_chat_round_trip_and_mask(spark):
 # -- 7 ---------------------------------------------------------------------
 
 
+def test_chat_keeps_turns_that_say_the_same(spark):
+    rows = [(1, 0, "user", "ok"), (1, 1, "assistant", "a"), (1, 2, "user", "ok"), (1, 3, "assistant", "a"), (1, 3, "assistant", "a"), (2, None, None, None)]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_logs(chat.table_events(t))).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"]) == (5, 3)
+    assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for c, _, r, x in rows if c == 1).encode()).hexdigest()
+    assert got[2]["n_turns"] == 1
+
+
+def test_queries_equal_their_sql(spark, tmp_path):
+    r = random.Random(8)
+    texts = [*ODD[:6], *[" ".join(words(r, r.randint(1, 40), 60)) for _ in range(60)]]
+    texts += [t + " tail" for t in texts[6:20]] + texts[20:30]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    says = [(c, t, r.choice(["user", "assistant", None]), r.choice(["ok", None, "<|im_end|>[x]", "␛<"])) for c in range(6) for t in [0, 1, 2, 2, 3]]
+    spark.createDataFrame(says, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "conversations"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name, sql in queries.ORACLES.items():
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        told = duck.execute(sql)
+        names = [d[0] for d in told.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, told.fetchall())), name
+
+
 def shingles(text, n):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
