@@ -24,7 +24,7 @@ WIDTH = 1024
 #: A cut may miss the median by this share of a shard.
 SLACK = 0.0005
 #: A cut moves by up to this share of a shard to an end of a group of equal texts.
-SNAP = 0.01
+SNAP = 0.02
 FETCH = 2000
 #: Rows ordered in one task when slots are numbered.
 SLOT_ROWS = 100_000

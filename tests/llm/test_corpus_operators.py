@@ -227,14 +227,14 @@ def test_shards(spark):
 def test_shards_keep_equal_texts_together(spark):
     r = random.Random(4)
     texts = [" ".join(words(r, r.randint(5, 60))) for _ in range(900)]
-    texts += [t for t in texts[:200] for _ in range(3)]
+    texts += [t for t in texts[:200] for _ in range(2)]
     got = sharding.kd_shards(documents(spark, texts)).collect()
     of = {}
     for x in got:
         of.setdefault(x["text_crc32"], set()).add(x["shard"])
     assert all(len(v) == 1 for v in of.values())
     size = [sum(x["size"] for x in got if x["shard"] == i) for i in range(16)]
-    assert max(size) < 1.06 * min(size)
+    assert max(size) < 1.1 * min(size)
 
 
 def test_shards_split_a_group_that_is_too_heavy(spark):
