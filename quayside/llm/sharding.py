@@ -148,7 +148,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None
     size is the text's UTF-8 bytes plus 1 (null text: 1), the law is `bytes`:
     leaves hold near-equal sizes. With target_bytes the number of leaves is
     the total over it, rounded up. Dimensions are size and language (null
-    language: before all others), ties go by text, then by id. Identical rows
+    language: before all others; equal texts of two languages are two groups), ties go by text, then by id. Identical rows
     may share a cut's side. slot counts a shard's rows from 0 without gaps,
     in no meaningful order. An empty table gives no rows; other columns are
     ignored.

@@ -228,7 +228,7 @@ def test_shards_keep_equal_texts_together(spark):
     r = random.Random(4)
     texts = [" ".join(words(r, r.randint(5, 60))) for _ in range(900)]
     texts += [t for t in texts[:200] for _ in range(2)]
-    got = sharding.kd_shards(documents(spark, texts)).collect()
+    got = sharding.kd_shards(documents(spark, texts).withColumn("lang", F.lit("en"))).collect()
     of = {}
     for x in got:
         of.setdefault(x["text_crc32"], set()).add(x["shard"])
