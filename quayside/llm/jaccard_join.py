@@ -7,19 +7,19 @@ sketches is at most the symmetric difference of the sets. If the similarity
 is t or more, sets of a and b shingles differ in D <= (a+b)(1-t)/(1+t)
 shingles. Per size band, shingles are dealt by hash to d+1+s blocks, d being
 the largest such D of the band: at least s+1 blocks agree entirely, so the XOR
-of some block's hashes is equal (pigeonhole). Of its blocks a set leaves out
+of those blocks' hashes is equal (pigeonhole). Of its blocks a set leaves out
 those with at most c shingles, where c is the largest value for which that
-drops no more than s; of the s+1 agreeing blocks one is therefore sent by
-both sides. Every linked pair shares a block.
-
-Members of a large block are compared with its leader, and with each other only
-if their differences from the leader have enough in common. Members far from
-every leader meet again by their rarest shingles (prefix filter, in the order
-of counts among themselves). Candidates pass size and Hamming bounds within the
-join that makes them and are verified on the whole shingle arrays. Two members
-that both link to the leader are connected by it and not verified against each
-other: the components are exact, the list of links isn't whole, and no number
-of links is given.
+drops no more than r < s+1; of the agreeing blocks s+1-r are therefore sent by
+both sides. A set that shares fewer blocks than that with all others has no
+partner; one that shares fewer large blocks has none that small blocks miss.
+
+Members of a large block are compared with its leader. What that leaves apart
+meets by its rarest shingles (prefix filter, in the order of counts among these
+sets); of the sets that share a shingle those of its largest component are not
+paired with each other. Candidates pass size and Hamming bounds within the join
+that makes them and are verified on the whole shingle arrays. Members that are
+connected by a leader are not verified against each other: the components are
+exact, the list of links isn't whole, and no number of links is given.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, release, shuffles_end_with_queries
@@ -38,11 +38,10 @@ from .common import connected_components, materialize, release, shuffles_end_wit
 BROADCAST_IDS = 4_000_000
 BROADCAST_PAIRS = 1_000_000
 BROADCAST_SHINGLES = 4_000_000  # 32 MB
-#: Members of a large group that show which differences are common in it.
-SHOWN = 12
 SKETCH_WORDS = 16  # least size of a parity sketch: 1,024 cells
+BAND_BITS = 10  # of a signature: its size band
 FOLD = 8  # words of the sketch that rows carry into a join of candidates
-#: Around a leader, up to so many members are simply paired.
+#: Members of blocks of up to so many are simply paired.
 SMALL = 16
 CACHE = 500_000
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -95,14 +94,22 @@ class Bands:
             first += 1
         # sets of up to `first` shingles have no partner but equal sets
         upper = [first]
-        while upper[-1] < 1 << 40:
+        while upper[-1] < 1 << 31:
             upper.append(max(upper[-1] + 1, int(upper[-1] / t / t)))
+        if len(upper) > 1 << BAND_BITS:
+            raise ValueError(f"a similarity of {num}/{den} has too many size bands")
         self.upper = np.array(upper)
 
     def differ(self, both: int) -> int:
         """Largest symmetric difference of sets with `both` shingles in all."""
         return both * (self.den - self.num) // (self.den + self.num)
 
+    def blocks(self, band: int) -> tuple[int, int, int]:
+        """(blocks, how many a set may leave out, how many partners share)."""
+        d = self.differ(2 * int(self.upper[band]))
+        spare, left_out = 1 + d // 4, 1 + d // 6
+        return d + 1 + spare, left_out, spare + 1 - left_out
+
     def of(self, size: int) -> list[int]:
         """The bands in which a set of this size meets its partners."""
         j = int(np.searchsorted(self.upper, size))
@@ -113,20 +120,19 @@ class Bands:
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
     for j in bands.of(len(s)):
-        d = bands.differ(2 * int(bands.upper[j]))
-        spare = 1 + d // 7
-        k = d + 1 + spare
+        k, left_out, _ = bands.blocks(j)
         block = (scramble(s ^ _ODD[1]) % np.uint64(k)).astype(np.int64)
         filled = np.bincount(block, minlength=k)
         level = np.bincount(filled).cumsum()  # how many blocks hold at most c
-        c = int(np.searchsorted(level, spare, side="right")) - 1
+        c = int(np.searchsorted(level, left_out, side="right")) - 1
         order = np.argsort(block, kind="stable")
         parity = np.zeros(k, np.uint64)
         full = np.flatnonzero(filled)
         starts = np.concatenate(([0], np.cumsum(filled[full])[:-1]))
         parity[full] = np.bitwise_xor.reduceat(scramble(s[order] ^ _ODD[2]), starts)
         sent = np.flatnonzero(filled > c).astype(np.uint64)
-        out.append(scramble(parity[sent.astype(np.int64)] + scramble(sent * _ODD[3] + np.full(1, j, np.uint64) * _ODD[4])))
+        mixed = scramble(parity[sent.astype(np.int64)] + scramble(sent * _ODD[3] + np.full(1, j, np.uint64) * _ODD[4]))
+        out.append(mixed << np.uint64(BAND_BITS) | np.uint64(j))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -218,12 +224,9 @@ def _with_arrays(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.join(F.broadcast(firsts) if size <= BROADCAST_SHINGLES else firsts, "a")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str, reach: int = 1) -> DataFrame:
-    """A written table of the pairs (a, b) with sizes n_a, n_b, their symmetric
-    difference `apart` and `linked`. Pairs whose sketches or sizes already show
-    more than `reach` times the difference of linked sets of up to twice n_a
-    shingles come without an exact figure: apart is null, linked false; with a
-    reach of 1 they are left out."""
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """A written table of the pairs (a, b) that are linked: sizes and whole
+    sketches are compared first, then the shingles."""
     light = sets.select("node", "n", "marks")
     near = _side(_side(pairs, light, "a"), light, "b")
 
@@ -235,131 +238,93 @@ def _measured(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str,
     near = near.withColumns({"marks_a": folded("marks_a", "marks_b"), "marks_b": folded("marks_b", "marks_a")})
     flipped = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     flipped = F.when(F.size("marks_a") == F.size("marks_b"), flipped).otherwise(0)
-    bound = reach * F.floor(4 * F.col("n_a") * (den - num) / (den + num)) if reach > 1 else F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
-    near = near.withColumn("open", (flipped <= bound) & (F.abs(F.col("n_a") - F.col("n_b")) <= bound)).drop("marks_a", "marks_b")
-    near = materialize(near if reach > 1 else near.where("open"), "near")
-    open_ = materialize(near.where("open").drop("open"), "open") if reach > 1 else near
-    both = _with_arrays(open_, sets).withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"))
-    exact = both.select("a", "b", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("apart"), (F.col("common") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("linked"))
-    if reach > 1:
-        exact = exact.unionByName(near.where("NOT open").select("a", "b", "n_a", "n_b", F.lit(None).cast("long").alias("apart"), F.lit(False).alias("linked")))
-    out = materialize(exact, name)
-    release(near, *[open_] * (reach > 1))
+    bound = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
+    near = materialize(near.where((F.abs(F.col("n_a") - F.col("n_b")) <= bound) & (flipped <= bound)).drop("marks_a", "marks_b"), "near")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
+    out = materialize(_with_arrays(near, sets).where(common * den >= num * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "links")
+    release(near)
     return out
 
 
-def _carried(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
-    """rows with what alike() needs of the node in `key`: n and f0, f1, ..."""
-    light = sets.select(F.col("node").alias(key), "n", *[F.col("fold")[i].alias(f"f{i}") for i in range(FOLD)])
-    return rows.join(F.broadcast(light) if light.count() <= BROADCAST_PAIRS // 2 else light, key)
-
-
-def _pairs_alike(rows: DataFrame, on: list[str], num: int, den: int, mark: Column | None = None) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes that share `on` and whose sizes and
-    folded sketches allow a link. rows: (*on, node, n, f0, f1, ...). Both tests
-    are part of the join's condition: far pairs never leave it. mark: a boolean
-    of rows; pairs for which both sides are true are left out."""
-    carried = ["n", *[f"f{i}" for i in range(FOLD)], "marked"]
-    rows = rows.withColumn("marked", F.lit(False) if mark is None else mark)
-    x, y = (rows.select(*[F.col(c).alias(f"on_{c}") for c in on], F.col("node").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in carried]) for p in "ab")
+def _pairs_alike(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share an element, are of two
+    components, and whose sizes and folded sketches allow a link; the tests are
+    part of the join's condition, so far pairs never leave it. rows: (e, node,
+    comp, minor); rows that are not minor, all of one component, are met by the
+    minor ones only."""
+    light = sets.select("node", "n", *[F.col("fold")[i].alias(f"f{i}") for i in range(FOLD)])
+    rows = rows.join(F.broadcast(light) if light.count() <= BROADCAST_PAIRS // 2 else light, "node")
+    carried = ["n", "comp", "minor", *[f"f{i}" for i in range(FOLD)]]
+    x, y = (rows.select("e", F.col("node").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in carried]) for p in "ab")
     bound = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
     flipped = sum((F.bit_count(F.col(f"f{i}_a").bitwiseXOR(F.col(f"f{i}_b"))) for i in range(FOLD)), F.lit(0))
-    near = (F.col("a") < F.col("b")) & ~(F.col("marked_a") & F.col("marked_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= bound) & (flipped <= bound)
-    return x.join(y, [f"on_{c}" for c in on]).where(near).select("a", "b").distinct()
-
-
-def _delta_pairs(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members around one leader that may be linked though not both
-    are linked to it. Members are written as differences from the leader, for
-    which |x ^ y| = |dx| + |dy| - 2 |dx & dy|: a link needs at least t common
-    elements of dx and dy, so their t-prefixes in order of rarity meet."""
-    def width(n):  # largest difference from any partner of a set of n
-        return F.floor((n + F.floor(n * den / num)) * (den - num) / (den + num))
-
-    d, n = F.col("apart"), F.col("n_b")
-    least_out = F.floor((F.ceil(n * num / den) + F.col("n_a")) * (den - num) / (den + num)) + 1  # of an unlinked partner
-    t = F.greatest(F.lit(1), F.when(F.col("linked"), F.ceil((d + least_out - width(n)) / 2)).otherwise(d - width(n)))
-    open_ = stars.groupBy("a").agg(F.count("*").alias("members"), F.max((~F.col("linked")).cast("int")).alias("out")).where("members > 1 AND out = 1").select("a", (F.col("members") > SMALL).alias("large"))
-    grouped = materialize(stars.where("apart > 0").join(open_, "a"), "groups")
-
-    def met(rows: DataFrame, on: list[str]) -> DataFrame:
-        return _pairs_alike(_carried(rows.select(*on, F.col("b").alias("node"), "linked"), sets, "node"), on, num, den, F.col("linked"))
-
-    few = met(grouped.where("NOT large"), ["a"])  # at most SMALL / 2 pairs a member
-    held = materialize(grouped.where("large").withColumn("take", (d - t + 1).cast("int")).where("take > 0").select("a", "b", "linked", "take"), "held")
-    delta = F.concat(F.array_except("shingles_b", "shingles_a"), F.array_except("shingles_a", "shingles_b"))
-    both = _with_arrays(held, sets).select("a", "b", "linked", "take", delta.alias("delta"))
-    # any order that depends on leader and element alone is right; what several
-    # of a few members show comes last
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
-    some = materialize(held.select("a", "b").withColumn("place", place).where(F.col("place") <= SHOWN), "some")
-    seen = _with_arrays(some, sets).select("a", delta.alias("delta")).groupBy("a").agg(F.array_sort(F.flatten(F.collect_list("delta"))).alias("all"))
-    common = seen.select("a", F.expr("array_distinct(filter(transform(all, (x, i) -> if(i > 0 AND x = all[i - 1], x, NULL)), x -> x IS NOT NULL))").alias("common"))
-    common = materialize(common, "common")
-    ordered = F.concat(F.array_sort(F.array_except("delta", "common")), F.array_sort(F.array_intersect("delta", "common")))
-    width_ = common.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]
-    prefix = both.join(F.broadcast(common) if width_ <= BROADCAST_SHINGLES else common, "a").select("a", "b", "linked", F.explode(F.slice(ordered, F.lit(1), F.col("take"))).alias("e"))
-    out = materialize(met(prefix, ["a", "e"]).unionByName(few).distinct(), "inner")
-    release(grouped, held, some, common)
-    return out
+    near = (~F.col("minor_b") | (F.col("a") < F.col("b"))) & (F.col("comp_a") != F.col("comp_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= bound) & (flipped <= bound)
+    return x.where("minor_a").join(y, "e").where(near).select("a", "b").distinct()
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs among the nodes that share one of their rarest shingles. A link
-    needs num/den of either set in common, so the n - ceil(n num / den) + 1
-    first elements of both sets in one order meet. The order is the count among
-    the nodes: what all of them share comes last and is rarely in a prefix."""
-    own = sets.join(_held(nodes), "node", "left_semi")
+    """Pairs among the nodes (node, comp), of two components, that share one of
+    their rarest shingles. A link needs num/den of either set in common, so the
+    n - ceil(n num / den) + 1 first elements of both sets in one order meet.
+    The order is the count among the nodes: what many share comes last and is
+    rarely in a prefix."""
+    own = sets.join(_held(nodes.select("node")), "node", "left_semi")
     held = materialize(own.select("node", "n", F.explode("shingles").alias("e")), "elements")
     counts = held.groupBy("e").agg(F.count("*").alias("c")).where("c > 1")
     rated = held.join(counts, "e", "left").select("node", "n", F.struct(F.coalesce("c", F.lit(1)).alias("c"), "e").alias("e"))
     take = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
     first = rated.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("e")).alias("all")).select("node", F.explode(F.slice("all", F.lit(1), take)).alias("e"))
-    rare = materialize(first.where("e.c > 1").select("node", F.col("e.e").alias("e")), "prefixes")
-    out = materialize(_pairs_alike(_carried(rare, sets, "node"), ["e"], num, den), "rest")
-    release(held, rare)
+    rare = materialize(first.where("e.c > 1").select("node", F.col("e.e").alias("e")).join(nodes, "node"), "prefixes")
+    release(held)
+    by_comp = rare.groupBy("e", "comp").agg(F.count("*").alias("c"))
+    tops = by_comp.groupBy("e").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    rows = materialize(rare.join(tops, "e").select("e", "node", "comp", (F.col("comp") != F.col("top")).alias("minor")), "met")
+    out = materialize(_pairs_alike(rows, sets, num, den), "rest")
+    release(rare, rows)
     return out
 
 
-def _links(pairs: DataFrame, sized: DataFrame, sets: DataFrame, num: int, den: int, rounds: int) -> DataFrame:
-    """Every link among nodes that share a block, or enough links to connect
-    what is linked. pairs (a, b): blocks of two members; sized (sig, rep, c):
-    members of those of c > 2.
+def _band(sig: str) -> Column:
+    return F.col(sig).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("band")
 
-    Blocks of at most SMALL members pair all of them. In a round each larger
-    block is led by the member that shares most blocks with others. With D the
-    largest difference of linked sets around a leader, members within 2D of it
-    are compared by their differences from it, those beyond D go on to the
-    next round: a pair that neither covers is more than D apart. What remains
-    after the last round meets by its rarest shingles.
+
+def _sharing(rows: DataFrame, bands: Bands) -> DataFrame:
+    """(rep, band) of those that share as many blocks as partners of the band
+    do. rows: (rep, band), one per block."""
+    least = F.element_at(F.array(*[F.lit(bands.blocks(j)[2]) for j in range(len(bands.upper))]), F.col("band") + 1)
+    return rows.groupBy("rep", "band").count().where(F.col("count") >= least).select("rep", "band")
+
+
+def _links(pairs: DataFrame, sized: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Enough links among nodes that share blocks to connect all that is
+    linked. pairs (a, b): blocks of two members; sized (sig, band, rep, c):
+    members of larger ones.
+
+    Blocks of at most SMALL members pair all of them, larger ones meet the
+    member that shares most blocks with others. Blocks of one component are
+    then settled; nodes that share enough of the others meet by their rarest
+    shingles.
     """
+    num, den = bands.num, bands.den
     x, y = (sized.where(F.col("c") <= SMALL).select("sig", F.col("rep").alias(p)) for p in "ab")
-    near = materialize(x.join(y, "sig").where("a < b").select("a", "b").unionByName(pairs).distinct(), "pairs")  # at most SMALL / 2 rows a member
-    small = _measured(near, sets, num, den, "links")
-    release(near)
-    found = small.where("linked").select("a", "b")
-    blocks = materialize(sized.where(F.col("c") > SMALL).select("sig", "rep"), "blocks")
-    for _ in range(rounds):
-        if blocks.isEmpty():
-            return found
-        shared = blocks.join(blocks.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig")
-        rated = shared.groupBy("rep").agg(F.sum("c").alias("popular"))
-        lead = blocks.join(rated, "rep").groupBy("sig").agg(F.max(F.struct("popular", (-F.col("rep")).alias("low"))).alias("m"), F.count("*").alias("c")).where("c > 1").select("sig", (-F.col("m.low")).alias("leader"))
-        led = materialize(blocks.join(lead, "sig").where("rep <> leader"), "led")
-        to_leader = materialize(led.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-        stars = _measured(to_leader, sets, num, den, "stars", reach=2)
-        inner = _delta_pairs(stars.where("apart IS NOT NULL"), sets, num, den)
-        links = _measured(inner, sets, num, den, "links")
-        found = found.unionByName(materialize(stars.where("linked").select("a", "b").unionByName(links.where("linked").select("a", "b")), "links"))
-        radius = F.floor(4 * F.col("n_a") * (den - num) / (den + num))
-        far = stars.where(F.col("apart").isNull() | (F.col("apart") > radius)).select(F.col("a").alias("leader"), F.col("b").alias("rep"))
-        left = materialize(led.join(far, ["leader", "rep"], "left_semi").select("sig", "rep"), "left")
-        release(blocks, to_leader, inner, links, stars, led)
-        blocks = materialize(left.join(left.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig", "left_semi"), "blocks")
-        release(left)
-    rest = _prefix_pairs(blocks.select(F.col("rep").alias("node")).distinct(), sets, num, den)
-    release(blocks)
-    return found.unionByName(_measured(rest, sets, num, den, "links").where("linked").select("a", "b"))
+    near = x.join(y, "sig").where("a < b").select("a", "b").unionByName(pairs)  # at most SMALL / 2 rows a member
+    large = sized.where(F.col("c") > SMALL)
+    blocks = materialize(large.join(_sharing(large.select("rep", "band"), bands), ["rep", "band"], "left_semi").select("sig", "band", "rep"), "blocks")
+    if blocks.isEmpty():
+        return _linked(near.distinct(), sets, num, den)
+    shared = blocks.join(blocks.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig")
+    rated = shared.groupBy("rep").agg(F.sum("c").alias("popular"))
+    lead = blocks.join(rated, "rep").groupBy("sig").agg(F.max(F.struct("popular", (-F.col("rep")).alias("low"))).alias("m")).select("sig", (-F.col("m.low")).alias("leader"))
+    stars = blocks.join(lead, "sig").where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
+    found = _linked(materialize(near.unionByName(stars).distinct(), "pairs"), sets, num, den)
+
+    comps = materialize(connected_components(found), "comps").withColumnRenamed("node", "rep")
+    named = materialize(blocks.join(comps, "rep", "left").select("sig", "band", "rep", F.coalesce("component", "rep").alias("comp")), "named")
+    open_ = named.join(named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"), "sig", "left_semi")
+    nodes = materialize(open_.join(_sharing(open_.select("rep", "band"), bands), ["rep", "band"], "left_semi").select(F.col("rep").alias("node"), "comp").distinct(), "nodes")
+    release(blocks, named)
+    rest = _prefix_pairs(nodes, sets, num, den)
+    return found.unionByName(_linked(rest, sets, num, den))
 
 
 def _held(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
@@ -367,7 +332,7 @@ def _held(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs: links join texts
     whose shingle sets have intersection * den >= num * union.
 
@@ -378,10 +343,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     each give a row. An empty table gives no rows; other columns are ignored.
     """
     with shuffles_end_with_queries(docs.sparkSession):
-        return _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), shingle, num, den, rounds)
+        return _components(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), shingle, num, den)
 
 
-def _components(own: DataFrame, shingle: int, num: int, den: int, rounds: int) -> DataFrame:
+def _components(own: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     signed = materialize(own.mapInArrow(_class_rows(shingle, num, den), "doc_id long, n long, h1 long, h2 long, sigs array<long>"), "signed")
     key = ["n", "h1", "h2"]
     rows = materialize(signed.drop("sigs"), "rows")
@@ -392,16 +357,25 @@ def _components(own: DataFrame, shingle: int, num: int, den: int, rounds: int) -
     sent = filled.join(_held(leads), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("sigs").alias("sig"))
     # a block of any size is one row of partial sums; blocks of two are pairs already
     met = materialize(sent.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("c")).where("a <> b"), "met")
-    sized = materialize(sent.join(_held(met.where("c > 2").select("sig", "c"), BROADCAST_PAIRS), "sig").distinct(), "sized")
-    pairs = materialize(met.where("c = 2").select("a", "b").distinct(), "pairs")
-    release(signed, leads, met)
+    wide = materialize(sent.join(_held(met.where("c > 2").select("sig"), BROADCAST_PAIRS), "sig", "left_semi").distinct(), "wide")
+    two = met.where("c = 2").select("a", "b", _band("sig"))
+    release(signed, leads)
+    bands = Bands(num, den)
+    ends = two.select(F.explode(F.array("a", "b")).alias("rep"), "band").unionByName(wide.select("rep", _band("sig")))
+    able = materialize(_sharing(ends, bands), "able")
+    held = wide.withColumn("band", _band("sig")).join(_held(able, BROADCAST_PAIRS), ["rep", "band"], "left_semi")
+    sized = materialize(held.join(held.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig"), "sized")
+    few = _held(able, BROADCAST_PAIRS)
+    ok = two.join(few.withColumnRenamed("rep", "a"), ["a", "band"], "left_semi").join(few.withColumnRenamed("rep", "b"), ["b", "band"], "left_semi")
+    pairs = materialize(ok.select("a", "b").distinct(), "pairs")
+    release(met, wide, able)
 
     ids = materialize(sized.select(F.col("rep").alias("doc_id")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct(), "ids")
     sets = own.join(_held(ids), "doc_id", "left_semi").mapInArrow(_set_rows(shingle), "node long, n long, fold array<long>, marks array<long>, shingles array<long>")
     if not rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         sets = sets.dropDuplicates(["node"])
     sets = materialize(sets, "shingles")
-    comps = connected_components(_links(pairs, sized, sets, num, den, rounds))
+    comps = connected_components(_links(pairs, sized, sets, bands))
     release(ids, sets, pairs, sized)
 
     named = rows.where("n > 0").select("doc_id", *key).join(reps, key).join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
