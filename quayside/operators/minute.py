@@ -1,7 +1,9 @@
 """Events to canonical minutes, the gap-free spine, and minute history.
 
-One shuffle by (symbol, market, minute) makes the minutes; everything that
-follows is partitioned by (symbol, market).
+One shuffle by (symbol, market, minute) makes the minutes. Long series are cut:
+running values restart every day and carry what the days before add up to, and
+trailing frames work on blocks that hold the end of the block before. No task
+needs a whole series; only one row a day of it meets in a task.
 """
 
 from __future__ import annotations
@@ -59,32 +61,85 @@ def spine(minutes: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return ends.select(*keys, F.explode(F.sequence("a", "b", F.expr("interval 1 minute"))).alias("minute"))
 
 
+def day_of(ts: str) -> Column:
+    return F.to_date(F.col(ts))
+
+
+def carried(rows: DataFrame, keys: list[str], day: str, sums: dict[str, str]) -> DataFrame:
+    """(*keys, day, *sums): what the days before add up to. rows: any number a
+    day; a day without rows has none here."""
+    days = rows.groupBy(*keys, day).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    return days.select(*keys, day, *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(n) for n in sums])
+
+
+def in_blocks(rows: DataFrame, index: Column, reach: int, length: int = 1440) -> DataFrame:
+    """rows with `_block`, of `length` indexes or more, and `_own`: each block
+    also holds the last `reach` indexes of the one before, not own. Frames of
+    up to `reach` rows back are whole for own rows."""
+    length = max(length, reach)
+    at = rows.withColumn("_i", index.cast("long")).withColumn("_own_block", F.floor(F.col("_i") / length))
+    late = F.pmod("_i", F.lit(length)) >= length - reach
+    blocks = F.when(late, F.array("_own_block", F.col("_own_block") + 1)).otherwise(F.array("_own_block"))
+    return at.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == F.col("_own_block")).drop("_own_block")
+
+
 def history(minutes: DataFrame) -> DataFrame:
     """Minutes on the spine: empty ones have zero quantities and null prices;
     delta, relative delta, running CVD, per-minute VWAP, last price."""
     on = spine(minutes).join(minutes, [*KEY, "minute"], "left")
-    run = Window.partitionBy(*KEY).orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
     zeros = ["trade_count", "buy_qty", "sell_qty", "buy_notional", "sell_notional", "whale_count", "whale_notional", "whale_buy"]
     on = on.withColumns({c: F.coalesce(c, F.lit(0).cast(on.schema[c].dataType)) for c in zeros})
-    on = on.withColumns({"qty": F.col("buy_qty") + F.col("sell_qty"), "notional": F.col("buy_notional") + F.col("sell_notional"), "delta": F.col("buy_qty") - F.col("sell_qty")})
-    return on.withColumns(
-        {
-            "relative_delta": F.coalesce(ratio(F.col("delta"), F.col("qty")), F.lit(0.0)),
-            "cvd": F.sum("delta").over(run),
-            "vwap": ratio(F.col("notional"), F.col("qty")),
-            "last_price": F.last("close", ignorenulls=True).over(run),
-        }
+    on = on.withColumns({"qty": F.col("buy_qty") + F.col("sell_qty"), "notional": F.col("buy_notional") + F.col("sell_notional"), "delta": F.col("buy_qty") - F.col("sell_qty"), "_day": day_of("minute")})
+    ends = minutes.groupBy(*KEY).agg(F.min(day_of("minute")).alias("a"), F.max(day_of("minute")).alias("b"))
+    traded = minutes.groupBy(*KEY, day_of("minute").alias("_day")).agg(F.sum(F.col("buy_qty") - F.col("sell_qty")).alias("d"), F.max_by("close", F.when(F.col("close").isNotNull(), F.col("minute"))).alias("p"))
+    before = Window.partitionBy(*KEY).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = ends.select(*KEY, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("_day")).join(traded, [*KEY, "_day"], "left")
+    days = days.select(*KEY, "_day", F.coalesce(F.sum("d").over(before), F.lit(0.0)).alias("_cvd"), F.last("p", ignorenulls=True).over(before).alias("_price"))
+    run = Window.partitionBy(*KEY, "_day").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        on.join(days, [*KEY, "_day"])
+        .withColumns(
+            {
+                "relative_delta": F.coalesce(ratio(F.col("delta"), F.col("qty")), F.lit(0.0)),
+                "cvd": F.col("_cvd") + F.sum("delta").over(run),
+                "vwap": ratio(F.col("notional"), F.col("qty")),
+                "last_price": F.coalesce(F.last("close", ignorenulls=True).over(run), F.col("_price")),
+            }
+        )
+        .drop("_day", "_cvd", "_price")
     )
 
 
+def minute_index(minute: str = "minute") -> Column:
+    return F.floor(F.unix_seconds(F.col(minute).cast("timestamp")) / 60)
+
+
 def with_rolling(on: DataFrame, columns: dict[str, tuple[str, int]], keys: list[str] = KEY, order: str = "minute") -> DataFrame:
     """Sums of the last n minutes of a gap-free series, {name: (column, n)}, as
-    differences of running sums: constant work per row for any width."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    differences of running sums that start anew with every block: constant work
+    per row for any width, and no sum over a whole series to lose digits in."""
     sources = sorted({c for c, _ in columns.values()})
-    on = on.withColumns({f"_run_{c}": F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in sources})
-    on = on.withColumns({name: F.col(f"_run_{c}") - F.coalesce(F.lag(f"_run_{c}", n).over(w), F.lit(0.0)) for name, (c, n) in columns.items()})
-    return on.drop(*[f"_run_{c}" for c in sources])
+    cut = in_blocks(on, minute_index(order), max(n for _, n in columns.values()))
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    cut = cut.withColumns({f"_run_{c}": F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in sources})
+    cut = cut.withColumns({name: F.col(f"_run_{c}") - F.coalesce(F.lag(f"_run_{c}", n).over(w), F.lit(0.0)) for name, (c, n) in columns.items()})
+    return cut.where("_own").drop("_own", "_block", "_i", *[f"_run_{c}" for c in sources])
+
+
+def with_extremes(on: DataFrame, columns: dict[str, tuple[str, str, int]], keys: list[str] = KEY, order: str = "minute") -> DataFrame:
+    """Least or greatest value of the last n minutes, {name: ("min" or "max",
+    column, n)}: of pieces of n minutes each, what a piece holds up to a row
+    and what the piece before holds from n - 1 rows earlier on."""
+    cut = in_blocks(on, minute_index(order), max(n for _, _, n in columns.values()))
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    for name, (kind, c, n) in columns.items():
+        f, both = (F.min, F.least) if kind == "min" else (F.max, F.greatest)
+        piece = Window.partitionBy(*keys, "_block", F.floor(F.col("_i") / n)).orderBy(order)
+        upto = f(c).over(piece.rowsBetween(Window.unboundedPreceding, 0))
+        cut = cut.withColumn("_from", f(c).over(piece.rowsBetween(0, Window.unboundedFollowing))).withColumn(name, upto)
+        cut = cut.withColumn(name, F.when(F.pmod(F.col("_i") + 1, F.lit(n)) == 0, F.col(name)).otherwise(both(F.col(name), F.lag("_from", n - 1).over(w))))
+    return cut.where("_own").drop("_own", "_block", "_i", "_from")
 
 
 def profile(trades: DataFrame, minutes: int | None = None) -> DataFrame:
@@ -126,7 +181,13 @@ def bars(on: DataFrame, minutes: int, ceil: bool = False) -> DataFrame:
 def book_samples(quotes: DataFrame) -> DataFrame:
     """Features of every best bid and offer update, with the change in order
     flow since the previous one."""
-    w = Window.partitionBy(*KEY).orderBy("ts", "update_id")
+    order = F.struct("ts", "update_id")
+    quotes = quotes.withColumn("_day", day_of("ts"))
+    last = quotes.groupBy(*KEY, "_day").agg(F.max_by(F.struct("bid_qty", "ask_qty"), order).alias("_last"))
+    days = last.select(*KEY, "_day", F.lag("_last").over(Window.partitionBy(*KEY).orderBy("_day")).alias("_before"))
+    quotes = quotes.join(days, [*KEY, "_day"])
+    w = Window.partitionBy(*KEY, "_day").orderBy("ts", "update_id")
+    was = F.coalesce(F.lag(F.struct("bid_qty", "ask_qty")).over(w), F.col("_before"))
     b, a = F.col("bid_qty"), F.col("ask_qty")
     mid = (F.col("bid") + F.col("ask")) / 2
     obi = F.coalesce(ratio(b - a, b + a), F.lit(0.0))
@@ -140,9 +201,9 @@ def book_samples(quotes: DataFrame) -> DataFrame:
             "microprice": F.coalesce(ratio(F.col("ask") * b + F.col("bid") * a, a + b), mid),
             "microprice_kappa": F.coalesce(ratio(F.col("ask") * kb + F.col("bid") * ka, ka + kb), mid),
             "microprice_adj": F.least(F.greatest(mid + 0.15 * obi * spread / 2, F.col("bid")), F.col("ask")),
-            "ofi": F.coalesce((b - F.lag("bid_qty").over(w)) - (a - F.lag("ask_qty").over(w)), F.lit(0.0)),
+            "ofi": F.coalesce((b - was["bid_qty"]) - (a - was["ask_qty"]), F.lit(0.0)),
         }
-    )
+    ).drop("_day", "_before")
 
 
 def book_minutes(quotes: DataFrame) -> DataFrame:
@@ -187,13 +248,15 @@ def vpin(on: DataFrame, bucket: float = 50.0, length: int = 50) -> DataFrame:
     """Flow toxicity on volume buckets: each minute's quantity covers a range
     of cumulated volume and is split over the buckets it meets; the imbalance
     of the last `length` full buckets over their volume."""
-    w = Window.partitionBy(*KEY).orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
-    m = on.where("qty > 0").withColumn("upto", F.sum("qty").over(w)).withColumn("from", F.col("upto") - F.col("qty"))
+    traded = on.where("qty > 0").withColumn("_day", day_of("minute"))
+    w = Window.partitionBy(*KEY, "_day").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    m = traded.join(carried(traded, KEY, "_day", {"_sum": "qty"}), [*KEY, "_day"]).withColumn("upto", F.col("_sum") + F.sum("qty").over(w)).withColumn("from", F.col("upto") - F.col("qty"))
     first, last = F.floor(F.col("from") / bucket), F.ceil(F.col("upto") / bucket) - 1
     parts = m.withColumn("bucket", F.explode(F.sequence(first.cast("long"), F.greatest(first, last).cast("long"))))
     share = (F.least(F.col("upto"), (F.col("bucket") + 1) * bucket) - F.greatest(F.col("from"), F.col("bucket") * bucket)) / F.col("qty")
     filled = parts.groupBy(*KEY, "bucket").agg(F.sum(F.col("buy_qty") * share).alias("buy"), F.sum(F.col("sell_qty") * share).alias("sell"), F.max("minute").alias("minute"))
     full = filled.where(F.round(F.col("buy") + F.col("sell"), 6) >= bucket).withColumn("imbalance", F.abs(F.col("buy") - F.col("sell")))
-    back = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(-(length - 1), 0)
+    full = in_blocks(full, F.col("bucket"), length, 10_000)
+    back = Window.partitionBy(*KEY, "_block").orderBy("bucket").rowsBetween(-(length - 1), 0)
     value = F.sum("imbalance").over(back) / (bucket * length)
-    return full.withColumn("vpin", F.when(F.count("*").over(back) >= length, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)).select(*KEY, "bucket", "minute", "buy", "sell", "imbalance", "vpin")
+    return full.withColumn("vpin", F.when(F.count("*").over(back) >= length, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)).where("_own").select(*KEY, "bucket", "minute", "buy", "sell", "imbalance", "vpin")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,23 +46,25 @@ def upsert_minutes(path: str):
     with the new rows over the old. Runs again with the same batch give the
     same files."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        staged = f"{path}_staged_{number}"
         new = batch.withColumn("day", F.to_date("minute")).persist()
-        days = [r["day"] for r in new.select("day").distinct().collect()]  # one row per day of the batch
-        if not days:
-            return
         try:
-            old = spark.read.parquet(path).where(F.col("day").isin(days)).join(new.select(*KEY, "minute"), [*KEY, "minute"], "left_anti")
-            rows = new.unionByName(old.select(*new.columns))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+            days = [r["day"] for r in new.select("day").distinct().collect()]  # one row per day of the batch
+            if not days:
+                return
             rows = new
-        staged = f"{path}_staged"
-        rows.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-        new.unpersist()
+            if files.exists(at):
+                old = spark.read.schema(new.schema).parquet(path).where(F.col("day").isin(days)).join(new.select(*KEY, "minute"), [*KEY, "minute"], "left_anti")
+                rows = new.unionByName(old.select(*new.columns))
+            rows.write.mode("overwrite").parquet(staged)
+            spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        finally:
+            new.unpersist()
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
 
     return write
 
@@ -72,20 +75,21 @@ def start(minutes: DataFrame, path: str, checkpoint: str, available_now: bool =
 
 
 def sequence_gaps(trades: DataFrame) -> DataFrame:
-    """Holes in trade ids per series over a stream; an id at or below the last
-    one opens none. State is the last id."""
+    """Holes in trade ids per series over a stream, as each batch closes. A
+    key's rows of a batch come in pieces of any order: they are gathered before
+    they are compared. An id at or below the last one opens no hole, one that
+    comes late into a hole that was told closes none. State is the last id."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        found = []
-        for pdf in batches:
-            for i in sorted(pdf["trade_id"].dropna().astype("int64")):
-                if last is not None and i > last + 1:
-                    found.append((*key, last + 1, i - 1))
-                last = i if last is None else max(last, i)
+        pieces = [pdf["trade_id"].dropna().to_numpy("int64") for pdf in batches]
+        ids = np.unique(np.concatenate(pieces)) if pieces else np.empty(0, "int64")
         if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(found, columns=[*KEY, "from_id", "to_id"])
+            ids = np.concatenate(([last], ids[ids > last]))
+        at = np.flatnonzero(np.diff(ids) > 1)
+        if len(ids):
+            state.update((int(ids[-1]),))
+        yield pd.DataFrame([(*key, int(ids[i]) + 1, int(ids[i + 1]) - 1) for i in at], columns=[*KEY, "from_id", "to_id"])
 
     return trades.groupBy(*KEY).applyInPandasWithState(run, "symbol string, market string, from_id long, to_id long", "last long", "append", GroupStateTimeout.NoTimeout)
 
@@ -110,8 +114,9 @@ def book_states(messages: DataFrame) -> DataFrame:
         else:
             last, synced, sides = -1, False, {"bids": {}, "asks": {}}
         rows = []
-        for pdf in batches:
-            for r in pdf.sort_values(["ts", "last_id", "snapshot"]).itertuples(index=False):
+        pieces = [pdf for pdf in batches if len(pdf)]  # of one batch, in any order
+        for pdf in [pd.concat(pieces)] if pieces else []:
+            for r in pdf.sort_values(["ts", "last_id", "snapshot"], kind="stable").itertuples(index=False):
                 if r.snapshot:
                     sides, synced = {"bids": {}, "asks": {}}, True
                 elif not synced or r.last_id <= last:
