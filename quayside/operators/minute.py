@@ -134,12 +134,20 @@ def with_extremes(on: DataFrame, columns: dict[str, tuple[str, str, int]], keys:
     cut = in_blocks(on, minute_index(order), max(n for _, _, n in columns.values()))
     w = Window.partitionBy(*keys, "_block").orderBy(order)
     for name, (kind, c, n) in columns.items():
+        if n == 1:
+            cut = cut.withColumn(name, F.col(c)).withColumns({"_from": F.col(c), "_piece": F.lit(0)})
+            continue
         f, both = (F.min, F.least) if kind == "min" else (F.max, F.greatest)
-        piece = Window.partitionBy(*keys, "_block", F.floor(F.col("_i") / n)).orderBy(order)
-        upto = f(c).over(piece.rowsBetween(Window.unboundedPreceding, 0))
-        cut = cut.withColumn("_from", f(c).over(piece.rowsBetween(0, Window.unboundedFollowing))).withColumn(name, upto)
-        cut = cut.withColumn(name, F.when(F.pmod(F.col("_i") + 1, F.lit(n)) == 0, F.col(name)).otherwise(both(F.col(name), F.lag("_from", n - 1).over(w))))
-    return cut.where("_own").drop("_own", "_block", "_i", "_from")
+        cut = cut.withColumn("_piece", F.floor(F.col("_i") / n))
+        piece = Window.partitionBy(*keys, "_block", "_piece")
+        back = piece.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+        cut = cut.withColumn("_from", f(c).over(back)).withColumn(name, f(c).over(piece.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        # a series that begins within the window: from its first row, if that is in a piece before
+        start = F.when(F.first("_piece").over(run) < F.col("_piece"), F.first("_from").over(run))
+        before = F.coalesce(F.lag("_from", n - 1).over(w), start)
+        cut = cut.withColumn(name, F.when(F.pmod(F.col("_i") + 1, F.lit(n)) == 0, F.col(name)).otherwise(both(F.col(name), before)))
+    return cut.where("_own").drop("_own", "_block", "_i", "_from", "_piece")
 
 
 def profile(trades: DataFrame, minutes: int | None = None) -> DataFrame:

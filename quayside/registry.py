@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quayside.plans import facts
+from quayside.plans import facts, features  # noqa: F401  (registers its queries)
+from quayside.plans.market import ORACLES as _ORACLES
+from quayside.plans.market import QUERIES as _QUERIES
 
-QUERIES = {**facts.QUERIES}
-ORACLES = {**facts.ORACLES}
+QUERIES = {**_QUERIES}
+ORACLES = {**_ORACLES}
