@@ -186,6 +186,19 @@ def time_profile(on: DataFrame, session: int = 240, rows: int = 64) -> DataFrame
     return counts.withColumn("is_poc", F.row_number().over(Window.partitionBy(*KEY, "session").orderBy(F.desc("tpo"), "bin")) == 1)
 
 
+def true_range(b: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """`tr`: the bar's range or its reach from the close before; the first
+    bar's own close stands in for the one before."""
+    before = F.coalesce(F.lag("close").over(Window.partitionBy(*keys).orderBy("bar")), F.col("close"))
+    return b.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+
+
+def atr(b: DataFrame, length: int) -> DataFrame:
+    """Mean true range of the last `length` bars, null before there are so many."""
+    frame = rows_back(KEY, "bar", length)
+    return true_range(b).withColumn("atr", F.when(F.count("tr").over(frame) >= length, F.avg("tr").over(frame)))
+
+
 def pivots(b: DataFrame, k: int = 3, high: str = "high", low: str = "low") -> DataFrame:
     """Swing highs and lows: beyond the k bars before, not exceeded by the k
     after; known k bars later."""
