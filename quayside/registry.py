@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quayside.plans import facts, features, records  # noqa: F401  (registers its queries)
+from quayside.plans import facts, features, records, reductions  # noqa: F401  (registers its queries)
 from quayside.plans.market import ORACLES as _ORACLES
 from quayside.plans.market import QUERIES as _QUERIES
 
