@@ -91,23 +91,38 @@ def ema_regime(b: DataFrame, fast: int = 13, slow: int = 34) -> DataFrame:
     return rows.withColumn("regime", regime)
 
 
-def fair_value_gaps(b: DataFrame, body: float = 0.6) -> DataFrame:
-    """Three-bar gaps whose middle bar is mostly body, with how far later bars
-    have filled them."""
+def fair_value_gaps(b: DataFrame, margin: float = 0.02, body: float = 0.6, impulse: float = 1.3, gap: tuple[float, float] = (0.15, 1.2), location: float = 0.7, length: int = 14, mitigated: float = 0.8, invalid_closes: int = 1) -> DataFrame:
+    """Three-bar gaps wider than `margin` between the first and the third bar,
+    whose middle bar is mostly body, closes near its end and is an impulse (its
+    true range against the ATR before it), and whose width lies in `gap` ATRs.
+    What bars from the third on do to a gap: the share filled, the bars that
+    touch it, the closes beyond it at the end of the series. A middle bar that
+    fails the bull test's close location is not tested for a bear gap."""
     w = Window.partitionBy(*KEY).orderBy("bar")
-    traded = b.where("close is not null")
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    g = traded.withColumns({"h2": F.lag("high", 2).over(w), "l2": F.lag("low", 2).over(w), "o1": F.lag("open").over(w), "c1": F.lag("close").over(w), "h1": F.lag("high").over(w), "l1": F.lag("low").over(w), "later_low": F.min("low").over(after), "later_high": F.max("high").over(after)})
-    strong = ratio(F.abs(F.col("c1") - F.col("o1")), F.col("h1") - F.col("l1")) >= body
-    bull = strong & (F.col("low") > F.col("h2")) & (F.col("c1") > F.col("o1"))
-    bear = strong & (F.col("high") < F.col("l2")) & (F.col("c1") < F.col("o1"))
+    t = true_range(b.where("close is not null"))
+    frame = rows_back(KEY, "bar", length)
+    t = t.withColumn("atr", F.when(F.count("tr").over(frame) >= length, F.avg("tr").over(frame)))
+    g = t.withColumns({"h2": F.lag("high", 2).over(w), "l2": F.lag("low", 2).over(w), "o1": F.lag("open").over(w), "c1": F.lag("close").over(w), "h1": F.lag("high").over(w), "l1": F.lag("low").over(w), "tr1": F.lag("tr").over(w), "atr1": F.lag("atr").over(w), "atr2": F.lag("atr", 2).over(w)})
+    span = F.col("h1") - F.col("l1") + 1e-12
+    g = g.withColumns({"body": F.abs(F.col("c1") - F.col("o1")) / span, "impulse": F.col("tr1") / (F.col("atr2") + 1e-12)}).where((F.col("body") >= body) & (F.col("impulse") >= impulse))
+    bull, bear = F.col("low") > F.col("h2") + margin, F.col("high") < F.col("l2") - margin
     g = g.withColumn("direction", F.when(bull, 1).when(bear, -1)).where("direction is not null")
     up = F.col("direction") == 1
-    g = g.withColumns({"bottom": F.when(up, F.col("h2")).otherwise(F.col("high")), "top": F.when(up, F.col("low")).otherwise(F.col("l2"))})
-    reach = F.when(up, F.col("top") - F.coalesce("later_low", "top")).otherwise(F.coalesce("later_high", "bottom") - F.col("bottom"))
-    fill = clip01(F.greatest(reach, F.lit(0.0)) / (F.col("top") - F.col("bottom")))
-    state = F.when(F.col("fill") <= 0, "fresh").when(F.col("fill") < 0.8, "partially_filled").when(F.col("fill") < 1, "mitigated").otherwise("fully_filled")
-    return g.withColumn("fill", fill).withColumn("state", state).select(*KEY, "bar", "direction", "bottom", "top", "fill", "state")
+    g = g.withColumns({"bottom": F.when(up, F.col("h2")).otherwise(F.col("high")), "top": F.when(up, F.col("low")).otherwise(F.col("l2")), "location": F.when(up, F.col("c1") - F.col("l1")).otherwise(F.col("h1") - F.col("c1")) / span})
+    g = g.withColumn("width_atr", (F.col("top") - F.col("bottom")) / (F.col("atr1") + 1e-12)).where((F.col("location") >= location) & F.col("width_atr").between(*gap))
+    g = g.select(*KEY, "bar", "direction", "bottom", "top", "body", "impulse", "location", "width_atr")
+    later = b.where("close is not null").select(*KEY, F.col("bar").alias("at"), F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("close").alias("end"))
+    met = g.join(later, KEY).where("at >= bar")
+    beyond = F.when(up, F.col("end") < F.col("bottom") - margin).otherwise(F.col("end") > F.col("top") + margin)
+    touch = F.when(up, F.col("lo") <= F.col("top")).otherwise(F.col("hi") >= F.col("bottom"))
+    own = g.columns
+    z = met.groupBy(*own).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(touch.cast("long")).alias("touches"), F.max(F.when(~beyond, F.col("at"))).alias("sound"), F.array_sort(F.collect_list(F.when(beyond, F.col("at")))).alias("out"))
+    fill = clip01(F.when(up, F.col("top") - F.col("lo")).otherwise(F.col("hi") - F.col("bottom")) / (F.col("top") - F.col("bottom") + 1e-12))
+    run = F.size(F.filter("out", lambda x: F.col("sound").isNull() | (x > F.col("sound"))))
+    z = z.withColumns({"fill": fill, "run": run})
+    state = F.when(F.col("run") >= invalid_closes, "invalidated").when(F.col("fill") >= 1, "fully_filled").when(F.col("fill") >= mitigated, "mitigated").when(F.col("fill") > 0, "partially_filled").otherwise("fresh")
+    score = clip01(0.4 * F.col("body") + 0.3 * F.least(F.col("impulse") / 2, F.lit(1.0)) + 0.3 * F.col("location"))
+    return z.withColumns({"state": state, "score": score}).select(*own, "touches", "fill", "state", "score")
 
 
 def footprint(p: DataFrame, keys: list[str], least: float = 3.0) -> DataFrame:
@@ -210,16 +225,26 @@ def pivots(b: DataFrame, k: int = 3, high: str = "high", low: str = "low") -> Da
     return b.withColumns({"pivot_high": up, "pivot_low": down, "known_at": F.lead("bar", k).over(w)})
 
 
-def exhaustion(b: DataFrame, k: int = 3, push: float = 0.02, drop: float = 20.0) -> DataFrame:
-    """Successive swing highs that rise in price while delta falls (buying), and
-    the mirror for lows (selling)."""
-    p = pivots(b, k)
+def exhaustion(b: DataFrame, k: int = 3, push: float = 0.02, drop: float = 20.0, relative: float = 0.05, reject: float = 0.65, legs: tuple[int, int] = (3, 180), confirm: int = 5, tick: float = 0.01) -> DataFrame:
+    """Successive swing highs at most legs[1] bars apart that rise in price
+    while delta and relative delta fall and the bar closes away from its high
+    (buying); confirmed by the first of the bars after that closes beyond the
+    bar's other end. Lows mirror them (selling)."""
+    w = Window.partitionBy(*KEY).orderBy("bar")
+    numbered = b.withColumns({"i": F.row_number().over(w), "rd": F.coalesce(ratio(F.col("delta"), F.col("qty")), F.lit(0.0)), "next": F.collect_list(F.struct("bar", "close")).over(w.rowsBetween(1, confirm))})
+    p = pivots(numbered, k)
 
     def side(flag: str, price: str, sign: int) -> DataFrame:
-        w = Window.partitionBy(*KEY).orderBy("bar")
-        legs = p.where(flag).withColumns({"from_bar": F.lag("bar").over(w), "from_price": F.lag(price).over(w), "from_delta": F.lag("delta").over(w)})
-        hit = (sign * (F.col(price) - F.col("from_price")) >= push) & (sign * (F.col("from_delta") - F.col("delta")) >= drop)
-        return legs.where(hit).select(*KEY, "from_bar", "bar", F.col(price).alias("price"), "from_price", "delta", "from_delta", F.lit("buying" if sign > 0 else "selling").alias("kind"), "known_at")
+        x = p.where(flag).withColumns({f"from_{c}": F.lag(v).over(w) for c, v in (("bar", "bar"), ("price", price), ("delta", "delta"), ("rd", "rd"), ("i", "i"))})
+        span = F.greatest(F.col("high") - F.col("low"), F.lit(tick)) + 1e-12
+        end, other = (F.col("high") - F.col("close"), F.col("low")) if sign > 0 else (F.col("close") - F.col("low"), F.col("high"))
+        x = x.withColumns({"move": sign * (F.col(price) - F.col("from_price")), "delta_drop": sign * (F.col("from_delta") - F.col("delta")), "rd_drop": sign * (F.col("from_rd") - F.col("rd")), "reject": end / span, "leg": F.col("i") - F.col("from_i")})
+        x = x.where((F.round("move", 9) >= push) & (F.col("delta_drop") >= drop) & (F.round("rd_drop", 9) >= relative) & (F.round("reject", 9) >= reject) & F.col("leg").between(*legs))
+        beyond = lambda e: sign * (other - e["close"]) >= 2 * tick
+        x = x.withColumn("speed_at", F.array_position(F.transform("next", beyond), True)).where("speed_at > 0")
+        x = x.withColumn("confirm_bar", F.element_at("next", F.col("speed_at").cast("int"))["bar"])
+        score = 0.3 * clip01(F.col("move") / tick / 10) + 0.25 * clip01(F.col("delta_drop") / (3 * drop)) + 0.2 * clip01(F.col("rd_drop") / (3 * relative)) + 0.15 * clip01((F.col("reject") - reject) / (1 - reject)) + 0.1 * clip01(confirm / F.col("speed_at"))
+        return x.select(*KEY, "from_bar", "bar", "confirm_bar", F.col(price).alias("price"), "delta_drop", "rd_drop", "reject", score.alias("score"), F.lit("buying" if sign > 0 else "selling").alias("kind"))
 
     return side("pivot_high", "high", 1).unionByName(side("pivot_low", "low", -1))
 

@@ -129,32 +129,32 @@ def frame(n: int) -> str:
 
 
 @query(
-    f"""WITH {HISTORY}, w AS ({' UNION ALL '.join(f"SELECT symbol, market, minute, '{k}' AS window_code, sum(whale_notional) {frame(n)} AS notional, sum(whale_buy) {frame(n)} AS buy FROM history" for k, n in (('15m', 15), ('1h', 60)))})
+    f"""WITH {HISTORY}, w AS ({' UNION ALL '.join(f"SELECT symbol, market, minute, '{k}' AS window_code, sum(whale_notional) {frame(n)} AS notional, sum(whale_buy) {frame(n)} AS buy FROM history" for k, n in ind.WINDOWS.items())})
     SELECT f.symbol, {T.format('f.minute')} AS minute, f.window_code, {R('f.notional')} AS notional_f, {R('s.notional')} AS notional_s, {R('2 * f.buy - f.notional')} AS delta_f, {R('2 * s.buy - s.notional')} AS delta_s, {R('CASE WHEN f.notional + s.notional > 1e-9 THEN f.notional / (f.notional + s.notional) ELSE 0.5 END')} AS dominance
-    FROM w f JOIN w s ON f.symbol = s.symbol AND f.minute = s.minute AND f.window_code = s.window_code WHERE f.market = 'futures' AND s.market = 'spot' AND f.notional + s.notional > 1"""
+    FROM w f JOIN w s ON f.symbol = s.symbol AND f.minute = s.minute AND f.window_code = s.window_code WHERE f.market = 'futures' AND s.market = 'spot'"""
 )
 def whale_windows(spark, sf_dir):
-    w = ind.whale_trades(history_of(spark, sf_dir), {"15m": 15, "1h": 60})
-    return told(w.where(F.col("notional_f") + F.col("notional_s") > 1).select("symbol", "minute", "window_code", "notional_f", "notional_s", "delta_f", "delta_s", "dominance"))
+    w = ind.whale_trades(history_of(spark, sf_dir))
+    return told(w.select("symbol", "minute", "window_code", "notional_f", "notional_s", "delta_f", "delta_s", "dominance"))
 
 
 @query(
     f"""WITH {HISTORY}, w AS (SELECT symbol, market, minute, sum(notional) {frame(10080)} AS n7, sum(qty) {frame(10080)} AS q7 FROM history), a AS (SELECT *, CASE WHEN q7 > 0.5 THEN n7 / q7 END AS avwap FROM w)
-    SELECT f.symbol, {T.format('f.minute')} AS minute, {R('f.avwap')} AS avwap_f, {R('s.avwap')} AS avwap_s, {R('f.avwap - s.avwap')} AS gap FROM a f JOIN a s ON f.symbol = s.symbol AND f.minute = s.minute WHERE f.market = 'futures' AND s.market = 'spot' AND minute(f.minute) % 15 = 0"""
+    SELECT f.symbol, {T.format('f.minute')} AS minute, {R('f.avwap')} AS avwap_f, {R('s.avwap')} AS avwap_s, {R('f.avwap - s.avwap')} AS gap FROM a f JOIN a s ON f.symbol = s.symbol AND f.minute = s.minute WHERE f.market = 'futures' AND s.market = 'spot'"""
 )
 def anchored_vwap(spark, sf_dir):
-    """Rolling 7-day VWAP of both markets, sampled on quarter hours."""
-    a = ind.anchored_vwap(history_of(spark, sf_dir)).where(F.minute("minute") % 15 == 0)
+    """Rolling 7-day VWAP of both markets, every minute."""
+    a = ind.anchored_vwap(history_of(spark, sf_dir))
     return told(a.select("symbol", "minute", "avwap_f", "avwap_s", "gap"))
 
 
 @query(
-    f"""WITH {HISTORY}, p AS (SELECT *, (high + low + close) / 3 AS t FROM history), w AS ({' UNION ALL '.join(f"SELECT symbol, market, minute, '{k}' AS window_code, last_price, sum(coalesce(t * qty, 0)) {frame(n)} AS pq, sum(coalesce(t * t * qty, 0)) {frame(n)} AS ppq, sum(qty) {frame(n)} AS q, sum(CASE WHEN qty > 0 THEN 1 ELSE 0 END) {frame(n)} AS n FROM p" for k, n in (('4h', 240), ('1d', 1440)))})
-    SELECT symbol, market, {T.format('minute')} AS minute, window_code, round(pq / q + 1e-7, 4) AS rvwap, round(sqrt(greatest(ppq / q - (pq / q) * (pq / q), 0)) + 1e-6, 2) AS sigma FROM w WHERE n >= 5 AND minute(minute) % 30 = 0"""
+    f"""WITH {HISTORY}, p AS (SELECT *, (high + low + close) / 3 AS t FROM history), w AS ({' UNION ALL '.join(f"SELECT symbol, market, minute, '{k}' AS window_code, last_price, sum(coalesce(t * qty, 0)) {frame(n)} AS pq, sum(coalesce(t * t * qty, 0)) {frame(n)} AS ppq, sum(qty) {frame(n)} AS q, sum(CASE WHEN qty > 0 THEN 1 ELSE 0 END) {frame(n)} AS n FROM p" for k, n in (('15m', 15), ('4h', 240), ('1d', 1440)))}), m AS (SELECT *, pq / q AS mean, sqrt(greatest(ppq / q - (pq / q) * (pq / q), 0)) AS sigma FROM w WHERE n >= 5)
+    SELECT symbol, market, {T.format('minute')} AS minute, window_code, round(mean + 1e-7, 4) AS rvwap, round(sigma + 1e-6, 4) AS sigma, round(mean + sigma + 1e-6, 4) AS up1, round(mean - sigma + 1e-6, 4) AS down1, round(mean + 2 * sigma + 1e-6, 4) AS up2, round(mean - 2 * sigma + 1e-6, 4) AS down2, round((last_price - mean) / (sigma + 1e-12) + 1e-6, 4) + 0.0 AS z FROM m"""
 )
 def rvwap_bands(spark, sf_dir):
-    b = ind.rvwap_bands(history_of(spark, sf_dir), {"4h": 240, "1d": 1440}).where(F.minute("minute") % 30 == 0)
-    return told(b.select(*KEY, "minute", "window_code", F.round(F.col("rvwap") + 1e-7, 4).alias("rvwap"), F.round(F.col("sigma") + 1e-6, 2).alias("sigma")))
+    b = ind.rvwap_bands(history_of(spark, sf_dir))
+    return told(b.select(*KEY, "minute", "window_code", F.round(F.col("rvwap") + 1e-7, 4).alias("rvwap"), *[(F.round(F.col(c) + 1e-6, 4) + F.lit(0.0)).alias(c) for c in ("sigma", "up1", "down1", "up2", "down2", "z")]))
 
 
 @query(
@@ -179,10 +179,10 @@ def volume_toxicity(spark, sf_dir):
 
 @query(
     f"""WITH {HISTORY}, v AS (SELECT symbol, market, minute, sum(qty) {frame(15)} AS volume FROM history), z AS (SELECT *, CASE WHEN count(*) OVER p >= 60 THEN CASE WHEN stddev_pop(volume) OVER p <= 1e-9 THEN 0 ELSE (volume - avg(volume) OVER p) / stddev_pop(volume) OVER p END END AS z FROM v WINDOW p AS (PARTITION BY symbol, market ORDER BY minute ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
-    SELECT symbol, market, {T.format('minute')} AS minute, {R('volume')} AS volume, round(z + 1e-7, 4) + 0.0 AS z FROM z WHERE z >= 1.5 AND round(z, 4) <> 1.5"""
+    SELECT symbol, market, {T.format('minute')} AS minute, {R('volume')} AS volume, round(z + 1e-7, 4) + 0.0 AS z FROM z"""
 )
 def volume_pulse(spark, sf_dir):
-    v = ind.volume_pulse(history_of(spark, sf_dir)).where("z >= 1.5 and round(z, 4) <> 1.5")
+    v = ind.volume_pulse(history_of(spark, sf_dir))
     return told(v.select(*KEY, "minute", "volume", (F.round(F.col("z") + 1e-7, 4) + F.lit(0.0)).alias("z")))
 
 
@@ -195,16 +195,30 @@ def ema_regime(spark, sf_dir):
     return told(ind.ema_regime(mn.bars(history_of(spark, sf_dir), 1440)).select(*KEY, "bar", "fast", "slow", "regime"))
 
 
-@query(
-    f"""WITH {HISTORY}, {bar_sql(240)}, g AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, lag(open) OVER w AS o1, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1, min(low) OVER a AS later_low, max(high) OVER a AS later_high FROM bars WHERE close IS NOT NULL
-    WINDOW w AS (PARTITION BY symbol, market ORDER BY bar), a AS (PARTITION BY symbol, market ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-    d AS (SELECT *, CASE WHEN low > h2 AND c1 > o1 THEN 1 WHEN high < l2 AND c1 < o1 THEN -1 END AS direction FROM g WHERE h1 - l1 > 1e-12 AND abs(c1 - o1) / (h1 - l1) >= 0.6),
-    z AS (SELECT *, CASE WHEN direction = 1 THEN h2 ELSE high END AS bottom, CASE WHEN direction = 1 THEN low ELSE l2 END AS top FROM d WHERE direction IS NOT NULL),
-    f AS (SELECT *, least(greatest(CASE WHEN direction = 1 THEN top - coalesce(later_low, top) ELSE coalesce(later_high, bottom) - bottom END, 0) / (top - bottom), 1) AS fill FROM z)
-    SELECT symbol, market, {T.format('bar')} AS bar, direction::INTEGER AS direction, {R('bottom')} AS bottom, {R('top')} AS top, {R('fill')} AS fill, CASE WHEN fill <= 0 THEN 'fresh' WHEN fill < 0.8 THEN 'partially_filled' WHEN fill < 1 THEN 'mitigated' ELSE 'fully_filled' END AS state FROM f"""
-)
-def fair_value_gaps(spark, sf_dir):
-    return told(ind.fair_value_gaps(mn.bars(history_of(spark, sf_dir), 240)))
+def _gap_sql(minutes: int) -> str:
+    return f"""WITH {HISTORY}, {bar_sql(minutes)}, b AS (SELECT * FROM bars WHERE close IS NOT NULL), t AS (SELECT *, greatest(high - low, abs(high - coalesce(lag(close) OVER w, close)), abs(low - coalesce(lag(close) OVER w, close))) AS tr FROM b WINDOW w AS (PARTITION BY symbol, market ORDER BY bar)),
+    r AS (SELECT *, CASE WHEN count(*) OVER f >= 14 THEN avg(tr) OVER f END AS atr FROM t WINDOW f AS (PARTITION BY symbol, market ORDER BY bar ROWS 13 PRECEDING)),
+    g AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, lag(open) OVER w AS o1, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1, lag(tr) OVER w AS tr1, lag(atr) OVER w AS atr1, lag(atr, 2) OVER w AS atr2 FROM r WINDOW w AS (PARTITION BY symbol, market ORDER BY bar)),
+    d AS (SELECT *, abs(c1 - o1) / (h1 - l1 + 1e-12) AS body, tr1 / (atr2 + 1e-12) AS impulse, CASE WHEN low > h2 + 0.02 THEN 1 WHEN high < l2 - 0.02 THEN -1 END AS direction FROM g),
+    z AS (SELECT *, CASE WHEN direction = 1 THEN h2 ELSE high END AS bottom, CASE WHEN direction = 1 THEN low ELSE l2 END AS top, CASE WHEN direction = 1 THEN c1 - l1 ELSE h1 - c1 END / (h1 - l1 + 1e-12) AS location FROM d WHERE direction IS NOT NULL AND body >= 0.6 AND impulse >= 1.3),
+    y AS (SELECT symbol, market, bar, direction, bottom, top, body, impulse, location, (top - bottom) / (atr1 + 1e-12) AS width_atr FROM z WHERE location >= 0.7 AND (top - bottom) / (atr1 + 1e-12) BETWEEN 0.15 AND 1.2),
+    m AS (SELECT y.*, b.bar AS later, b.low AS lo, b.high AS hi, CASE WHEN direction = 1 THEN b.close < bottom - 0.02 ELSE b.close > top + 0.02 END AS beyond, CASE WHEN direction = 1 THEN b.low <= top ELSE b.high >= bottom END AS touch FROM y JOIN b ON b.symbol = y.symbol AND b.market = y.market AND b.bar >= y.bar),
+    n AS (SELECT *, max(CASE WHEN NOT beyond THEN later END) OVER (PARTITION BY symbol, market, bar) AS sound FROM m),
+    s AS (SELECT symbol, market, bar, direction, bottom, top, body, impulse, location, width_atr, sum(touch::INT)::BIGINT AS touches, sum((beyond AND (sound IS NULL OR later > sound))::INT) AS run, least(greatest(CASE WHEN direction = 1 THEN top - min(lo) ELSE max(hi) - bottom END / (top - bottom + 1e-12), 0), 1) AS fill FROM n GROUP BY symbol, market, bar, direction, bottom, top, body, impulse, location, width_atr)
+    SELECT symbol, market, {T.format('bar')} AS bar, direction::INTEGER AS direction, {R('bottom')} AS bottom, {R('top')} AS top, {R('body')} AS body, {R('impulse')} AS impulse, {R('location')} AS location, {R('width_atr')} AS width_atr, touches, {R('fill')} AS fill,
+    CASE WHEN run >= 1 THEN 'invalidated' WHEN fill >= 1 THEN 'fully_filled' WHEN fill >= 0.8 THEN 'mitigated' WHEN fill > 0 THEN 'partially_filled' ELSE 'fresh' END AS state, {R('least(greatest(0.4 * body + 0.3 * least(impulse / 2, 1) + 0.3 * location, 0), 1)')} AS score FROM s"""
+
+
+def _gaps(name: str, minutes: int) -> None:
+    def run(spark, sf_dir):
+        return told(ind.fair_value_gaps(mn.bars(history_of(spark, sf_dir), minutes)))
+
+    run.__name__ = name
+    query(_gap_sql(minutes))(run)
+
+
+for _name, _minutes in (("fair_value_gaps_15m", 15), ("fair_value_gaps", 240), ("fair_value_gaps_1d", 1440), ("fair_value_gaps_3d", 4320)):
+    _gaps(_name, _minutes)
 
 
 PROFILE_1D = BASE + """, profile AS (SELECT symbol, market, time_bucket(INTERVAL 1440 MINUTE, ts, TIMESTAMP '1970-01-01') AS bucket, round(price * 100)::BIGINT AS tick, sum(CASE WHEN side >= 0 THEN qty ELSE 0 END) AS buy_qty, sum(CASE WHEN side < 0 THEN qty ELSE 0 END) AS sell_qty FROM trades GROUP BY ALL)"""
@@ -268,13 +282,19 @@ def pivots(spark, sf_dir):
     return told(ind.pivots(hour_bars(spark, sf_dir)).where("pivot_high or pivot_low").select(*KEY, "bar", "pivot_high", "pivot_low", "known_at"))
 
 
+def _exhaustion_sql(flag: str, price: str, sign: int, other: str, end: str, kind: str) -> str:
+    return f"""SELECT symbol, market, {T.format('from_bar')} AS from_bar, {T.format('bar')} AS bar, {T.format('nexts[pos].bar')} AS confirm_bar, {R(price)} AS price, {R('delta_drop')} AS delta_drop, {R('rd_drop')} AS rd_drop, {R('reject')} AS reject,
+    {R('0.3 * least(move / 0.01 / 10, 1) + 0.25 * least(delta_drop / 60, 1) + 0.2 * least(rd_drop / 0.15, 1) + 0.15 * least(greatest((reject - 0.65) / 0.35, 0), 1) + 0.1 * least(5.0 / pos, 1)')} AS score, '{kind}' AS kind
+    FROM (SELECT *, list_position(list_transform(nexts, lambda e: {sign} * ({other} - e.close) >= 0.02), true) AS pos FROM (SELECT *, {sign} * ({price} - lag({price}) OVER w) AS move, {sign} * (lag(delta) OVER w - delta) AS delta_drop, {sign} * (lag(rd) OVER w - rd) AS rd_drop, ({end}) / (greatest(high - low, 0.01) + 1e-12) AS reject, i - lag(i) OVER w AS leg, lag(bar) OVER w AS from_bar FROM x WHERE {flag} WINDOW w AS (PARTITION BY symbol, market ORDER BY bar)))
+    WHERE round(move, 9) >= 0.02 AND delta_drop >= 20 AND round(rd_drop, 9) >= 0.05 AND round(reject, 9) >= 0.65 AND leg BETWEEN 3 AND 180 AND pos > 0"""
+
+
 @query(
-    f"""WITH {PIVOT}, h AS (SELECT *, lag(bar) OVER w AS from_bar, lag(high) OVER w AS from_price, lag(delta) OVER w AS from_delta FROM p WHERE pivot_high WINDOW w AS (PARTITION BY symbol, market ORDER BY bar)), g AS (SELECT *, lag(bar) OVER w AS from_bar, lag(low) OVER w AS from_price, lag(delta) OVER w AS from_delta FROM p WHERE pivot_low WINDOW w AS (PARTITION BY symbol, market ORDER BY bar))
-    SELECT symbol, market, {T.format('from_bar')} AS from_bar, {T.format('bar')} AS bar, {R('high')} AS price, {R('delta')} AS delta, 'buying' AS kind FROM h WHERE high - from_price >= 0.02 AND from_delta - delta >= 20
-    UNION ALL SELECT symbol, market, {T.format('from_bar')}, {T.format('bar')}, {R('low')}, {R('delta')}, 'selling' FROM g WHERE from_price - low >= 0.02 AND delta - from_delta >= 20"""
+    f"""WITH {PIVOT}, x AS (SELECT *, row_number() OVER (PARTITION BY symbol, market ORDER BY bar) AS i, coalesce(delta / nullif(qty, 0), 0) AS rd, list(struct_pack(bar := bar, close := close)) OVER (PARTITION BY symbol, market ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS nexts FROM p)
+    {_exhaustion_sql('pivot_high', 'high', 1, 'low', 'high - close', 'buying')} UNION ALL {_exhaustion_sql('pivot_low', 'low', -1, 'high', 'close - low', 'selling')}"""
 )
 def exhaustion(spark, sf_dir):
-    return told(ind.exhaustion(hour_bars(spark, sf_dir)).select(*KEY, "from_bar", "bar", "price", "delta", "kind"))
+    return told(ind.exhaustion(hour_bars(spark, sf_dir)))
 
 
 @query(
