@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from quayside.functions.stats import ratio
 from quayside.operators.indicators import atr
 from quayside.operators.records import tail
 from quayside.sources.events import KEY
 
-ORDER = Window.partitionBy(*KEY).orderBy("bar")
+def in_order() -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy("bar")
 
 
 def anchors(b: DataFrame, refs: dict[str, Column], price: Column) -> DataFrame:
@@ -27,8 +29,8 @@ def acceptance(b: DataFrame, low: Column, high: Column, bars: int = 3) -> DataFr
     rejected (outside after inside), inside."""
     place = F.when(F.col("close") > high, 1).when(F.col("close") < low, -1).otherwise(0)
     s = b.withColumn("place", place)
-    frame = ORDER.rowsBetween(-(bars - 1), 0)
-    s = s.withColumns({"same": F.min("place").over(frame) == F.max("place").over(frame), "before": F.lag("place").over(ORDER), "seen": F.count("*").over(frame)})
+    frame = in_order().rowsBetween(-(bars - 1), 0)
+    s = s.withColumns({"same": F.min("place").over(frame) == F.max("place").over(frame), "before": F.lag("place").over(in_order()), "seen": F.count("*").over(frame)})
     state = F.when((F.col("place") != 0) & F.col("same") & (F.col("seen") == bars), "accepted").when(F.col("place") != 0, "rejected").when(F.col("before") != 0, "reentered").otherwise("inside")
     return s.withColumn("state", state).select(*KEY, "bar", "place", "state")
 
@@ -59,7 +61,7 @@ def momentum(b: DataFrame) -> DataFrame:
     """Return over three bars, range in ATR 14, close location, delta of three."""
     span = F.col("high") - F.col("low")
     m = atr(b, 14)
-    return m.select(*KEY, "bar", (ratio(F.col("close"), F.lag("close", 3).over(ORDER)) - 1).alias("return_3"), ratio(span, F.col("atr")).alias("range_atr"), ratio(F.col("close") - F.col("low"), span).alias("close_location"), F.sum("delta").over(ORDER.rowsBetween(-2, 0)).alias("delta_3"))
+    return m.select(*KEY, "bar", (ratio(F.col("close"), F.lag("close", 3).over(in_order())) - 1).alias("return_3"), ratio(span, F.col("atr")).alias("range_atr"), ratio(F.col("close") - F.col("low"), span).alias("close_location"), F.sum("delta").over(in_order().rowsBetween(-2, 0)).alias("delta_3"))
 
 
 def path_block(b: DataFrame, bars: int) -> DataFrame:
@@ -74,7 +76,7 @@ def path_block(b: DataFrame, bars: int) -> DataFrame:
 def swings(b: DataFrame, widths: tuple[int, ...] = (10, 5, 3)) -> DataFrame:
     """ATR 14 and the extremes of the last bars, at every bar."""
     m = atr(b, 14)
-    both = {f"{kind}_{n}": f(c).over(ORDER.rowsBetween(-(n - 1), 0)) for n in widths for kind, f, c in (("swing_high", F.max, "high"), ("swing_low", F.min, "low"))}
+    both = {f"{kind}_{n}": f(c).over(in_order().rowsBetween(-(n - 1), 0)) for n in widths for kind, f, c in (("swing_high", F.max, "high"), ("swing_low", F.min, "low"))}
     return m.withColumns(both).select(*KEY, "bar", "atr", *both)
 
 
@@ -165,4 +167,4 @@ def evidence(b: DataFrame, entry: Column) -> DataFrame:
     the entry lies in the bar's middle half, bars elapsed since the first."""
     m = atr(b, 14)
     span = F.col("high") - F.col("low")
-    return m.select(*KEY, "bar", ratio(F.col("close") - entry, F.col("atr")).alias("distance_atr"), entry.between(F.col("low") + span * 0.25, F.col("high") - span * 0.25).alias("in_value"), (F.row_number().over(ORDER) - 1).alias("bars_elapsed"))
+    return m.select(*KEY, "bar", ratio(F.col("close") - entry, F.col("atr")).alias("distance_atr"), entry.between(F.col("low") + span * 0.25, F.col("high") - span * 0.25).alias("in_value"), (F.row_number().over(in_order()) - 1).alias("bars_elapsed"))

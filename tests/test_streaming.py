@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 
@@ -55,3 +56,31 @@ def test_books(spark, tmp_path):
     q.awaitTermination()
     got = [(r["bid"], r["ask"], r["synced"]) for r in spark.table("books").orderBy("ts").collect()]
     assert got == [(9.0, 11.0, True), (8.0, 10.0, True), (None, None, False)]
+
+
+def test_gaps_of_a_large_shuffled_batch(spark, tmp_path):
+    ids = [i for i in range(25_000) if i not in (7_000, 7_001)]
+    random.Random(3).shuffle(ids)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("\n".join(line(i, 1) for i in ids))
+    trades = sm.trades_of(sm.read_lines(spark, str(folder)))
+    q = sm.sequence_gaps(trades).writeStream.format("memory").queryName("many").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r["from_id"], r["to_id"]) for r in spark.table("many").collect()] == [(7_000, 7_001)]
+
+
+def test_books_of_a_large_shuffled_batch(spark, tmp_path):
+    e = {"schema_version": 1, "market": "spot", "symbol": "S0"}
+    rows = [{**e, "msg_type": "md.orderbook_snapshot_l2", "event_ts": "2024-01-01T00:00:00Z", "data": {"last_update_id": 0, "bids": [["9", "1"]], "asks": [["11", "1"]]}}]
+    for i in range(1, 12_001):
+        ts = (dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=i)).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
+        rows.append({**e, "msg_type": "md.depth", "event_ts": ts, "data": {"first_update_id": i, "final_update_id": i, "bids_delta": [["9", str(i)]], "asks_delta": []}})
+    random.Random(3).shuffle(rows)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("\n".join(map(json.dumps, rows)))
+    q = sm.books(sm.read_lines(spark, str(folder))).writeStream.format("memory").queryName("large").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("large").orderBy("ts").collect()
+    assert len(got) == 12_001 and all(r["synced"] for r in got) and got[-1]["bid_qty"] == 12_000
