@@ -2,15 +2,19 @@
 DataFrame functions and JVM machine learning only.
 
 Patterns propose candidates from whole texts. A forest of decision trees,
-trained on labelled findings, judges length, character transitions, dictionary
-coverage, path-like surroundings and neighbouring words, and drops the false
-ones. The labelled findings are made by rule from a seed (bounded), or given.
+trained on labelled findings, judges length, character transitions (the mean
+log odds of a candidate's neighbouring characters among true and among false
+findings), dictionary coverage, path-like surroundings and the words on both
+sides, and drops the false ones. The labelled findings are given (at most
+SAMPLE of them, least hash first) or made by rule from a seed.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import random
+from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -21,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Findings made for training.
-FINDINGS = 4_000
+FINDINGS = 8_000
+#: Given findings that are learned from; a forest needs no more.
+SAMPLE = 50_000
 KEEP = 0.5
 # fixed patterns: group 1 is the candidate
 PATTERNS = {
@@ -42,17 +48,38 @@ GATES = {
     "pay_key": "contains(t, '_live_') or contains(t, '_test_')",
     "map_key": "contains(t, 'AIza')",
     "web_token": "contains(t, 'eyJ')",
-    "assigned": "t rlike '(?i)(?:key|secret|token|passw|auth|credential)s?[\"\\']? {0,3}[:=]'",
+    "assigned": "t rlike '(?i)(?:key|secret|token|passwd|password|auth|credential)s?[\"\\']? {0,3}[:=]'",
     "random": "t rlike '[A-Za-z0-9+/_=-]{24}'",
 }
 # fixed word lists
-WORDS = "the and for that with this from have not you are was key secret token password passwd auth access private public user name value data test example sample demo dummy change your here some other file path config default local host admin login service client server session string number index index content module source target version build release image video static assets script style node main input output report update delete create select insert table column".split()
+WORDS = "the and for that with this from have not you are was key secret token password passwd auth access private public user name value data test example sample demo dummy change your here some other file path config default local host admin login service client server session string number index content module source target version build release image video static assets script style node main input output report update delete create select insert table column archive array backup base block branch button cache call check class cloud code color commit common component context control core count customer database date debug detail device document domain download email engine entry error event export feature field filter folder format frame function global group handle header helper history home icon import item label language layout library line link list load lock logger manager map media member memory menu message method model network object online option order package page panel parent partner payment platform plugin policy port post price process product profile project property query queue record region register request resource response result return role root route schema scope search section security settings shared size socket stage start state status storage store stream support switch".split()
 CUES = "secret|token|api|key|passw|auth|credential|login|bearer"
+#: Characters of the transition model: letters without case, 9 for digits, - for all others.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz9-"
 AGAINST = "example|sample|test|dummy|placeholder|commit|sha1|sha256|md5|checksum|hash|revision|uuid|guid|build|version"
-FEATURES = ("size", "distinct", "entropy", "digits", "uppers", "transitions", "vowels", "covered", "slashes", "dots", "run", "cue", "against", "path_before", "assigned", "hex_only")
+FEATURES = ("size", "distinct", "entropy", "digits", "uppers", "transitions", "odds", "vowels", "covered", "slashes", "dots", "run", "cue", "against", "path_before", "assigned", "hex_only", "against_after", "path_after", "closed")
 
 
-def features(found: DataFrame) -> DataFrame:
+def _pairs() -> str:
+    """SQL for the cells of a candidate's neighbouring characters, row * size + column."""
+    plain = "regexp_replace(regexp_replace(lower(secret), '[0-9]', '9'), '[^a-z9]', '-')"
+    places = f"transform(filter(split({plain}, ''), c -> c <> ''), c -> instr('{ALPHABET}', c) - 1)"
+    return f"flatten(transform(array({places}), p -> zip_with(slice(p, 1, greatest(size(p) - 1, 0)), slice(p, 2, size(p)), (x, y) -> x * {len(ALPHABET)} + y)))"
+
+
+def transition_odds(findings: DataFrame) -> list[float]:
+    """Per pair of neighbouring characters, the log odds of true against false
+    findings, add-one smoothed. One partial sum per pair reaches the driver."""
+    cells = len(ALPHABET) ** 2
+    counts = findings.select(F.explode(F.expr(_pairs())).alias("pair"), "label").groupBy("pair").agg(F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no"))
+    yes, no = [1.0] * cells, [1.0] * cells
+    for row in counts.collect():  # at most len(ALPHABET) ** 2 rows
+        yes[row["pair"]] += row["yes"]
+        no[row["pair"]] += row["no"]
+    return [math.log(y / sum(yes)) - math.log(n / sum(no)) for y, n in zip(yes, no)]
+
+
+def features(found: DataFrame, odds: list[float]) -> DataFrame:
     """The forest's inputs from (secret, before, after)."""
     s, low = F.col("secret"), F.lower("secret")
     n = F.greatest(F.length(s), F.lit(1)).cast("double")
@@ -60,7 +87,9 @@ def features(found: DataFrame) -> DataFrame:
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9")
     runs = F.length(F.regexp_replace(shape, r"(.)\1*", "$1"))
     chars = F.expr("filter(split(secret, ''), c -> c <> '')")
-    found = found.withColumns({"chars": chars, "before": F.lower("before")})
+    found = found.withColumns({"chars": chars, "before": F.lower("before"), "after": F.lower("after")})
+    table = "array(" + ", ".join(f"{x!r}D" for x in odds) + ")"
+    mean_odds = F.expr(f"aggregate(transform(array({_pairs()}), p -> aggregate(p, 0D, (a, x) -> a + element_at({table}, x + 1)) / greatest(size(p), 1)), 0D, (a, x) -> a + x)")
     entropy = F.expr("-aggregate(transform(array_distinct(chars), c -> size(filter(chars, d -> d = c)) / double(size(chars))), 0D, (a, p) -> a + p * log2(p))")
     return found.withColumns(
         {
@@ -70,6 +99,7 @@ def features(found: DataFrame) -> DataFrame:
             "digits": share("[0-9]"),
             "uppers": share("[A-Z]"),
             "transitions": (runs - 1) / n,
+            "odds": mean_odds,
             "vowels": share("[aeiouAEIOU]"),
             "covered": (F.length(low) - F.length(F.regexp_replace(low, "|".join(sorted(set(WORDS), key=lambda w: (-len(w), w))), ""))) / n,
             "slashes": share("/"),
@@ -80,50 +110,102 @@ def features(found: DataFrame) -> DataFrame:
             "path_before": F.col("before").rlike("(?:/|\\\\|https?:|www)[^ ]*$").cast("double"),
             "assigned": F.col("before").rlike(r"[:=] {0,3}[\"']?$").cast("double"),
             "hex_only": s.rlike("^[0-9a-fA-F]+$").cast("double"),
+            "against_after": F.col("after").rlike(AGAINST).cast("double"),
+            "path_after": F.col("after").rlike("^[.][a-z]{2,4}\\b|^[/\\\\?(]").cast("double"),
+            "closed": F.col("after").rlike("^[\"']").cast("double"),
         }
     )
 
 
 def labelled_findings(spark: SparkSession, count: int = FINDINGS, seed: int = 17) -> DataFrame:
     """(secret, before, after, label), made by rule: random keys in assigning
-    or cued surroundings are secrets; words, placeholders, paths, runs, and
-    hashes or numbers in other surroundings are not."""
+    or cued surroundings and keys with a provider's prefix are secrets; words,
+    placeholders, references, paths, runs, and hashes, numbers or embedded data
+    in other surroundings are not."""
     r = random.Random(seed)
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alnum, hexa = lower + upper + digit, digit + "abcdef"
     draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
-    names = ["token", "api_key", "secret", "password", "auth_token", "access_key", "SECRET_KEY"]
+    one_of = lambda makers: r.choice(makers)()
+    hashed = lambda: draw(hexa, r.choice([32, 40, 64]))
+    names = ["token", "api_key", "apiKey", "secret", "password", "passwd", "auth_token", "access_key", "client_secret", "SECRET_KEY", "credentials"]
     plain = ["the value of", "see page", "in chapter", "and then", "as found in", "total"]
-    negative = ["commit", "sha256 checksum", "md5", "uuid", "revision", "example", "build hash"]
+    negative = ["commit", "sha256 checksum", "md5", "uuid", "revision", "example", "build hash", "version"]
+    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+    spoken = lambda n: "".join(r.choice(syllables) for _ in range(n))
+    prose = lambda: " ".join(r.choice([spoken(r.randint(1, 3)), r.choice(WORDS)]) for _ in range(r.randint(1, 4)))
+    uuid = lambda: "-".join(draw(hexa, n) for n in (8, 4, 4, 4, 12))
+    named = lambda: r.choice(names)
 
     def secret() -> str:
-        return r.choice([lambda: draw(digit + "abcdef", r.choice([32, 40, 64])), lambda: draw(lower + upper + digit, r.randint(20, 48)), lambda: draw(lower + upper + digit + "+/", r.randint(24, 64)), lambda: "AKIA" + draw(upper + digit, 16), lambda: "ghp_" + draw(lower + upper + digit, 36), lambda: draw(digit + "ABCDEF", 40)])()
-
-    rows = []
-    for i in range(count):
-        if i % 2:
-            rows.append((secret(), f"{draw(lower, 6)} {r.choice(names)}{r.choice([' = ', '=', ': '])}{r.choice(['', chr(34)])}", " ", 1.0))
-            continue
-        body, before = r.choice(
-            [
-                lambda: ("_".join(r.sample(WORDS, 4)), f"{r.choice(names)} = "),
-                lambda: ("your_" + r.choice(names) + "_here", f"{r.choice(names)} = \""),
-                lambda: (draw(r.choice(digit + lower + "x*"), 1) * r.randint(8, 40), f"{r.choice(names)} = "),
-                lambda: ("/".join(r.sample(WORDS, 5)) + "/v" + draw(digit, 2), f"{r.choice(plain)} http://"),
-                lambda: (draw(digit + "abcdef", r.choice([32, 40, 64])), f"{r.choice(negative)} "),
-                lambda: ("".join(w.title() for w in r.sample(WORDS, 5)) + draw(digit, 1), f"{r.choice(plain)} "),
-                lambda: (draw(digit, r.randint(24, 30)) + "x", f"{r.choice(plain)} "),
-                lambda: ("".join(r.choice("th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()) for _ in range(r.randint(8, 16))) + draw(digit, 1), f"{r.choice(plain + names)} "),
-            ]
-        )()
-        rows.append((body, before, " ", 0.0))
+        return one_of([hashed, lambda: draw(alnum, r.randint(20, 48)), lambda: draw(alnum + "+/", r.randint(24, 64)), lambda: draw(digit + "ABCDEF", 40), lambda: draw(alnum, r.randint(7, 14)) + draw(digit, 2)])
+
+    def prefixed() -> str:
+        return one_of([lambda: "AKIA" + draw(upper + digit, 16), lambda: "ghp_" + draw(alnum, 36), lambda: "sk_live_" + draw(alnum, 24), lambda: "xoxb-" + draw(digit, 11) + "-" + draw(alnum, 24), lambda: "AIza" + draw(alnum + "_-", 35), lambda: "eyJ" + draw(alnum, 30) + "." + draw(alnum, 60) + "." + draw(alnum + "_-", 40)])
+
+    def true() -> tuple[str, str, str]:
+        quote = r.choice(["", '"', "'"])
+        held = [
+            lambda: (secret(), f"{prose()} {named()}{r.choice([' = ', '=', ': ', ':'])}{quote}", quote + r.choice(["", " ", "\n", ",", ";"]) + prose()),
+            lambda: (secret(), f'{{"{named()}": "', '"' + r.choice([",", "}", "\n"]) + prose()),
+            lambda: (secret(), f"export {named().upper()}={quote}", quote + "\n" + prose()),
+            lambda: (draw(alnum, r.randint(24, 48)), f"{prose()} authorization: bearer ", r.choice(["\n", " ", '"']) + prose()),
+            lambda: (prefixed(), f"{prose()} ", " " + prose()),
+            lambda: (prefixed(), f"{named()}={quote}", quote + " " + prose()),
+        ]
+        return one_of(held)
+
+    def false() -> tuple[str, str, str]:
+        made = [
+            lambda: ("_".join(r.sample(WORDS, 4)), f"{named()} = ", "\n" + prose()),
+            lambda: ("your_" + named() + "_here", f'{named()} = "', '"'),
+            lambda: (r.choice(["changeme", "placeholder", "password", "example", "dummy_key_"]) + draw(digit, r.randint(0, 3)), f"{named()}: ", " " + prose()),
+            lambda: (".".join(r.sample(WORDS, r.randint(2, 3))), f"{named()} = ", r.choice(["(", "[", "()", "\n"]) + prose()),
+            lambda: (spoken(r.randint(4, 7)), f"{prose()} {named()}: ", " " + prose()),
+            lambda: (draw(r.choice(digit + lower + "x*"), 1) * r.randint(8, 40), f"{named()} = ", " " + prose()),
+            lambda: ("/".join(r.sample(WORDS, 5)) + "/v" + draw(digit, 2), f"{r.choice(plain)} http://", r.choice([" ", "/", ".html", "?"]) + prose()),
+            lambda: (hashed(), f"https://{spoken(3)}.com/{r.choice(WORDS)}/", r.choice([".png", ".js", ".css", "/", "?", " "]) + prose()),
+            lambda: (uuid(), f"{r.choice(negative + plain)} ", " " + prose()),
+            lambda: (hashed(), f"{prose()} {r.choice(negative)}{r.choice([' ', ': ', '=', ':'])}", " " + prose()),
+            lambda: (hashed(), f"{prose()} ", r.choice(["  " + r.choice(WORDS) + ".tar.gz", " checksum", " (commit)", " sha256"])),
+            lambda: (draw(alnum + "+/", r.randint(40, 200)) + "==", r.choice(["data:image/png;base64,", "integrity=\"sha512-", "sha384-"]), '"' + r.choice([">", " "])),
+            lambda: ("".join(w.title() for w in r.sample(WORDS, 5)) + draw(digit, 1), f"{prose()} ", " " + prose()),
+            lambda: ("-".join(r.sample(WORDS, 5)) + "-" + draw(digit, r.randint(1, 4)), f"{prose()} ", " " + prose()),
+            lambda: (draw(digit, r.randint(24, 30)) + "x", f"{r.choice(plain)} ", " " + prose()),
+            lambda: (spoken(r.randint(8, 16)) + draw(digit, 1), f"{r.choice(plain + names)} ", " " + prose()),
+        ]
+        return one_of(made)
+
+    rows = [(*((true if i % 2 else false)()), float(i % 2)) for i in range(count)]
+    rows = [(secret, before[-40:], after[:20], label) for secret, before, after, label in rows]
     told = F.lit(json.dumps([dict(zip(("secret", "before", "after", "label"), row)) for row in rows]))
     return spark.range(1).select(F.explode(F.from_json(told, "array<struct<secret:string,before:string,after:string,label:double>>")).alias("r")).select("r.*")
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 7) -> RandomForestClassificationModel:
-    """One ordered partition: bagging draws the same rows in every run."""
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(features(findings)).orderBy("secret", "before").coalesce(1).select("x", "label")
-    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+@dataclass(frozen=True)
+class Forest:
+    """The trees and the transition odds that one of their inputs is made of."""
+
+    odds: list[float]
+    trees: RandomForestClassificationModel
+
+    def score(self, found: DataFrame) -> DataFrame:
+        """found with `score`, the share of the forest that calls it a secret."""
+        scored = self.trees.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(features(found, self.odds)))
+        return scored.withColumn("score", F.round(vector_to_array("probability")[1], 6))
+
+
+def train(findings: DataFrame, trees: int = 32, depth: int = 9, seed: int = 7, sample: int = SAMPLE) -> Forest:
+    """From (secret, before, after, label); nulls count as empty, findings
+    without a label are left out. At most `sample` findings, least hash first,
+    reach the fit; they are one ordered partition, so that bagging draws the
+    same rows in every run."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("secret", "before", "after")]
+    told = findings.where("label IS NOT NULL").select(*texts, F.col("label").cast("double").alias("label"))
+    told = materialize(told.orderBy(F.xxhash64("secret", "before", "after", "label"), "secret", "before", "after", "label").limit(sample), "findings")
+    odds = transition_odds(told)
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(features(told, odds)).orderBy("secret", "before", "after").coalesce(1).select("x", "label")
+    return Forest(odds, RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(rows))
 
 
 def _candidates(kind: str) -> str:
@@ -159,6 +241,4 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, keep: float
     first = "filter(c, (x, i) -> NOT exists(slice(c, 1, i), y -> y.s < x.e AND x.s < y.e))"
     rows = text.select("doc_id", F.expr(found).alias("c")).where("size(c) > 0").select("doc_id", F.explode(F.expr(first)).alias("f"))
     held = materialize(rows.select("doc_id", "f.*"), "candidates")
-    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(features(held)))
-    score = vector_to_array("probability")[1]
-    return scored.withColumn("score", F.round(score, 6)).where(F.col("score") >= keep).select("doc_id", "kind", F.col("s").cast("long").alias("start"), F.col("e").cast("long").alias("end"), F.sha2("secret", 256).alias("secret_sha256"), "score")
+    return model.score(held).where(F.col("score") >= keep).select("doc_id", "kind", F.col("s").cast("long").alias("start"), F.col("e").cast("long").alias("end"), F.sha2("secret", 256).alias("secret_sha256"), "score")

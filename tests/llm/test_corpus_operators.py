@@ -479,12 +479,70 @@ def test_secrets(spark):
 
 
 def test_secret_forest_held_out(spark):
-    model = secrets.train(secrets.labelled_findings(spark, 2000, seed=1))
-    from pyspark.ml.feature import VectorAssembler
+    forest = secrets.train(secrets.labelled_findings(spark, 2000, seed=1))
+    rows = forest.score(secrets.labelled_findings(spark, 800, seed=2))
+    assert rows.where("(score >= 0.5) = (label = 1)").count() >= 760
+
+
+def test_secret_transition_odds(spark):
+    rows = [("ab1", "", "", 1.0), ("AB", None, "", 1.0), ("a-b", "", "", 0.0), ("", "", "", 0.0), ("é!", "", "", 0.0)]
+    got = secrets.transition_odds(spark.createDataFrame(rows, "secret string, before string, after string, label double"))
+    width = len(secrets.ALPHABET)
+    cell = lambda two: secrets.ALPHABET.index(two[0]) * width + secrets.ALPHABET.index(two[1])
+    told = {1: ["ab", "b9", "ab"], 0: ["a-", "-b", "--"]}
+    for two in ["ab", "b9", "a-", "--", "zz"]:
+        share = {k: np.log((1 + v.count(two)) / (width**2 + len(v))) for k, v in told.items()}
+        assert got[cell(two)] == pytest.approx(share[1] - share[0])
+
+
+def planted_findings(r, n):
+    """Texts of forms that training does not make, each with one finding: (text, finding, is a secret)."""
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    hexa = "0123456789abcdef"
+    true = [
+        lambda: ("curl -u admin --data '{\"db_password\":\"%s\"}' https://h.example.org/login", draw(alnum, 22)),
+        lambda: ("REDIS_AUTH_TOKEN: %s\nREDIS_PORT: 6379", draw(hexa, 48)),
+        lambda: ("my aws id was %s until Tuesday", "ASIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)),
+        lambda: ("deploy with gho key %s then restart", "gho_" + draw(alnum, 36)),
+        lambda: ("const privateKey = '%s'; connect(privateKey)", draw(alnum + "+/", 44)),
+        lambda: ("the login secret=%s&user=7 was posted", draw(alnum, 30)),
+    ]
+    false = [
+        lambda: ("Merge commit %s into main", draw(hexa, 40)),
+        lambda: ("<img src=\"/cache/%s.jpeg\" alt=\"a tree\">", draw(hexa, 32)),
+        lambda: ("%s  archive-2.1.zip", draw(hexa, 64)),
+        lambda: ("password = %s(request, 'password')", "get_form_value"),
+        lambda: ("docker pull registry/app@sha256:%s", draw(hexa, 64)),
+        lambda: ("auth: %s is needed for this page", "authentication"),
+        lambda: ("visit https://cdn.site.org/lib/%s/main.css today", draw(hexa, 32)),
+        lambda: ("token: \"%s\" # replace me", "insert_your_token_here"),
+    ]
+    out = []
+    for i in range(n):
+        form, found = r.choice(true if i % 2 else false)()
+        lead, tail = " ".join(words(r, 12)), " ".join(words(r, 12))
+        out.append((f"{lead} {form % found} {tail}", found, i % 2 == 1))
+    return out
+
 
-    rows = VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="x").transform(secrets.features(secrets.labelled_findings(spark, 800, seed=2)))
-    right = model.transform(rows).where("prediction = label").count()
-    assert right >= 760
+def test_secrets_of_other_forms(spark):
+    """Precision and recall over whole documents of forms that were not trained on."""
+    rows = planted_findings(random.Random(8), 600)
+    found = secrets.scan_secrets(documents(spark, [t for t, _, _ in rows])).collect()
+    texts = {(x["doc_id"], rows[x["doc_id"] - 1][0][x["start"] : x["end"]]) for x in found}
+    hit = sum((i, f) in texts for i, (_, f, yes) in enumerate(rows, 1) if yes)
+    assert hit / 300 >= 0.9
+    assert hit / len(texts) >= 0.9
+
+
+def test_secrets_of_odd_rows(spark):
+    """Repeated rows and null ids give their findings each; null findings and labels are no error."""
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    table = spark.createDataFrame([(None, f"token = {key}"), (4, f"token = {key}"), (4, f"token = {key}"), (5, None)], "doc_id long, text string")
+    assert sorted(x["doc_id"] or 0 for x in secrets.scan_secrets(table).collect()) == [0, 4, 4]
+    given = secrets.labelled_findings(spark, 400, seed=3).unionByName(spark.createDataFrame([(None, None, None, 0.0), ("x", None, None, None)], "secret string, before string, after string, label double"))
+    assert len(secrets.scan_secrets(table, findings=given).collect()) == 3
 
 
 # -- 9 ---------------------------------------------------------------------
