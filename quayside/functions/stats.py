@@ -38,14 +38,6 @@ def slope(y: Column, x: Column, frame: WindowSpec, least: int = 3) -> Column:
     return F.when(F.count(y).over(frame) >= least, F.regr_slope(y, x).over(frame))
 
 
-def ema(values: Column, period: int) -> Column:
-    """Of an ordered array: seeded with its first value, alpha 2 / (p + 1);
-    the array of running values."""
-    alpha = 2.0 / (period + 1)
-    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.when(F.size(values) > 0, F.aggregate(rest, F.array(values[0]), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) * (1 - alpha) + x * alpha))))
-
-
 def median(values: Column) -> Column:
     """Of an array; the middle two average."""
     s = F.array_sort(F.filter(values, lambda v: v.isNotNull()))

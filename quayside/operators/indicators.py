@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.functions.stats import clip01, direction, ema, ratio, rows_back, slope, zscore
-from quayside.operators.minute import bars, floor_to, profile, with_rolling
+from quayside.functions.stats import clip01, direction, ratio, rows_back, slope
+from quayside.operators.minute import around, bars, emas, filled, floor_to, minute_index, profile, with_rolling
 from quayside.sources.events import KEY
 
 WINDOWS = {"15m": 15, "1h": 60, "4h": 240, "1d": 1440, "3d": 4320}
@@ -80,15 +80,27 @@ def volume_pulse(on: DataFrame, width: int = 15, back: int = 60) -> DataFrame:
     return r.withColumn("z", z).select(*KEY, "minute", "volume", "z", (F.col("z") >= 2).alias("z2"), (F.col("z") >= 3).alias("z3"))
 
 
-def ema_regime(b: DataFrame, fast: int = 13, slow: int = 34) -> DataFrame:
-    """EMA of bars' closes from the first retained bar, and the regime. A
-    series of bars is folded in one row; bars are bounded by its history."""
-    series = b.where("close is not null").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("bar", "close"))).alias("s"))
-    closes = F.transform("s", lambda x: x["close"])
-    series = series.withColumns({"fast": ema(closes, fast), "slow": ema(closes, slow)})
-    rows = series.select(*KEY, F.explode(F.arrays_zip("s", "fast", "slow")).alias("r")).select(*KEY, "r.s.bar", "r.s.close", "r.fast", "r.slow")
-    regime = F.when((F.col("close") > F.col("fast")) & (F.col("fast") > F.col("slow")), "bull").when((F.col("close") < F.col("fast")) & (F.col("fast") < F.col("slow")), "bear").otherwise("neutral")
-    return rows.withColumn("regime", regime)
+def ema_regime(on: DataFrame, every: int = 15, frames: tuple[str, ...] = ("4h", "1d"), base: tuple[int, ...] = (13, 21, 34), fast: int = 100, slow: int = 200) -> DataFrame:
+    """At every `every` minutes' end (`at`): EMAs of minute closes and their
+    band; per frame the fast and slow EMA of the closes of its last closed bar,
+    and its trend; the regime on which all frames agree. Untraded minutes close
+    at the last price."""
+    m = on.select(*KEY, "minute", F.coalesce("close", "last_price").alias("price")).where("price is not null")
+    names = {f"ema_{p}": p for p in base}
+    minute = F.expr("interval 1 minute")
+    r = emas(m, minute_index(), "price", names).where(F.pmod(minute_index() + 1, F.lit(every)) == 0)
+    r = r.select(*KEY, (F.col("minute") + minute).alias("at"), *names).withColumns({"band_low": F.least(*names), "band_high": F.greatest(*names)})
+    for code in frames:
+        n = WINDOWS[code]
+        b = m.groupBy(*KEY, floor_to(F.col("minute"), n).alias("bar")).agg(F.max_by("price", "minute").alias("price"))
+        b = emas(b, F.floor(minute_index("bar") / n), "price", {f"fast_{code}": fast, f"slow_{code}": slow}, order="bar")
+        # bars have no gaps: the last closed one ends where the frame of `at` begins
+        b = b.select(*KEY, (F.col("bar") + F.make_dt_interval(mins=F.lit(n))).alias("_end"), f"fast_{code}", f"slow_{code}")
+        r = r.withColumn("_end", floor_to(F.col("at"), n)).join(b, [*KEY, "_end"], "left").drop("_end")
+        ahead, even = F.col(f"fast_{code}") - F.col(f"slow_{code}"), F.abs(f"slow_{code}") * 1e-12
+        r = r.withColumn(f"trend_{code}", F.when(ahead > even, "bull").when(ahead < -even, "bear").otherwise("neutral"))
+    agreed = lambda kind: F.greatest(*[F.col(f"trend_{c}") != kind for c in frames], F.lit(False)) == F.lit(False)
+    return r.withColumn("regime", F.when(agreed("bull"), "bull").when(agreed("bear"), "bear").otherwise("neutral"))
 
 
 def fair_value_gaps(b: DataFrame, margin: float = 0.02, body: float = 0.6, impulse: float = 1.3, gap: tuple[float, float] = (0.15, 1.2), location: float = 0.7, length: int = 14, mitigated: float = 0.8, invalid_closes: int = 1) -> DataFrame:
@@ -156,38 +168,60 @@ def profile_ranks(p: DataFrame, keys: list[str], top: int) -> DataFrame:
     return p.where((F.col("rank") <= top) | F.col("is_poc"))
 
 
+def _ticks(p: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, s): a group's traded ticks in order, one row's array; they are
+    bounded by the price range."""
+    volume = F.col("buy_qty") + F.col("sell_qty")
+    return p.where(volume > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tick", F.col("buy_qty").alias("buy"), F.col("sell_qty").alias("sell"), volume.alias("v")))).alias("s"))
+
+
+def _area(share: float) -> Column:
+    """(lo, hi, got) of _ticks' `s`: places grown from the point of control,
+    which is the greatest volume's highest tick, by the fuller neighbour."""
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["v"])
+    poc = F.array_max(F.transform("s", lambda x, i: F.struct(x["v"].alias("v"), i.alias("i"))))
+    state = lambda lo, hi, got: F.struct(lo.alias("lo"), hi.alias("hi"), got.alias("got"))
+
+    def step(a: Column, _: Column) -> Column:
+        up, down = F.get("s", a["hi"] + 1), F.get("s", a["lo"] - 1)
+        # untraded ticks are passed on the upper side while the lower neighbour is untraded too
+        up_v = F.when(up["tick"] == F.get("s", a["hi"])["tick"] + 1, up["v"]).otherwise(0.0)
+        down_v = F.when(down["tick"] == F.get("s", a["lo"])["tick"] - 1, down["v"]).otherwise(0.0)
+        done = (a["got"] >= share * F.col("total")) | (up.isNull() & down.isNull())
+        rises = up.isNotNull() & (up_v >= down_v)
+        return F.when(done, a).when(rises, state(a["lo"], a["hi"] + 1, a["got"] + up["v"])).otherwise(state(a["lo"] - 1, a["hi"], a["got"] + down["v"]))
+
+    return total, poc, F.aggregate("s", state(F.col("poc")["i"], F.col("poc")["i"], F.col("poc")["v"]), step)
+
+
 def value_area(p: DataFrame, keys: list[str], share: float = 0.7) -> DataFrame:
-    """(keys, poc, val, vah): grown tick by tick from the point of control to
-    `share` of the volume, upper side first on ties, through untraded ticks.
-    A group's profile is one row's array; its ticks are bounded by the price
-    range."""
-    held = p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tick", (F.col("buy_qty") + F.col("sell_qty")).alias("v")))).alias("s"))
-
-    def grow(batches):
-        for pdf in batches:
-            out = []
-            for s in pdf["s"]:
-                vol = {r["tick"]: r["v"] for r in s}
-                low, high, total = min(vol), max(vol), sum(vol.values())
-                poc = max(vol, key=lambda t: (vol[t], t))
-                lo = hi = poc
-                got = vol[poc]
-                while got < share * total and (lo > low or hi < high):
-                    up = vol.get(hi + 1, 0.0) if hi < high else -1.0
-                    down = vol.get(lo - 1, 0.0) if lo > low else -1.0
-                    if up >= down:
-                        hi += 1
-                        got += max(up, 0.0)
-                    else:
-                        lo -= 1
-                        got += max(down, 0.0)
-                out.append((poc, lo, hi))
-            pdf = pdf.drop(columns="s")
-            pdf[["poc", "val", "vah"]] = out if out else [[0, 0, 0]][:0]
-            yield pdf
-
-    fields = ", ".join(f"`{k}` {held.schema[k].dataType.simpleString()}" for k in keys)
-    return held.mapInPandas(grow, f"{fields}, poc long, val long, vah long")
+    """(keys, poc, val, vah): grown from the point of control to `share` of the
+    volume, upper side first on ties, through untraded ticks. Groups without
+    volume have no row."""
+    total, poc, area = _area(share)
+    held = _ticks(p, keys).withColumns({"total": total, "poc": poc}).withColumn("area", area)
+    return held.select(*keys, F.get("s", F.col("poc")["i"])["tick"].alias("poc"), F.get("s", F.col("area")["lo"])["tick"].alias("val"), F.get("s", F.col("area")["hi"])["tick"].alias("vah"))
+
+
+def key_levels(p: DataFrame, keys: list[str], share: float = 0.7, least: float = 3.0, stack: int = 3) -> DataFrame:
+    """value_area's columns and whether `stack` ticks in a row are imbalanced,
+    buying against the tick below, selling against the one above."""
+    held = _ticks(p, keys)
+    beside = lambda x, i, by, side: F.when(F.get("s", i + by)["tick"] == x["tick"] + by, F.get("s", i + by)[side]).otherwise(0.0)
+
+    def stacked(own: str, by: int, other: str) -> Column:
+        flags = F.transform("s", lambda x, i: F.struct(x["tick"].alias("tick"), ((x[own] > 0) & (x[own] / (beside(x, i, by, other) + 1e-12) >= least)).alias("flag")))
+
+        def step(a: Column, x: Column) -> Column:
+            run = F.when(~x["flag"], 0).when((a["run"] > 0) & (x["tick"] == a["last"] + 1), a["run"] + 1).otherwise(1)
+            return F.struct(run.alias("run"), x["tick"].alias("last"), F.greatest(a["most"], run).alias("most"))
+
+        return F.aggregate(flags, F.struct(F.lit(0).alias("run"), F.lit(0).cast("long").alias("last"), F.lit(0).alias("most")), step)["most"] >= stack
+
+    total, poc, area = _area(share)
+    held = held.withColumns({"total": total, "poc": poc}).withColumn("area", area)
+    tick = lambda i: F.get("s", i)["tick"]
+    return held.select(*keys, tick(F.col("poc")["i"]).alias("poc"), tick(F.col("area")["lo"]).alias("val"), tick(F.col("area")["hi"]).alias("vah"), stacked("buy", -1, "sell").alias("stacked_buy"), stacked("sell", 1, "buy").alias("stacked_sell"))
 
 
 def time_profile(on: DataFrame, session: int = 240, rows: int = 64) -> DataFrame:
@@ -268,31 +302,126 @@ def divergences(b: DataFrame, k: int = 3, back: int = 20) -> DataFrame:
     return side("pivot_high", "high", 1).unionByName(side("pivot_low", "low", -1))
 
 
-def absorption(b: DataFrame, back: int = 24, confirm: int = 3, least: float = 0.15, reject: float = 0.6) -> DataFrame:
-    """Bars that push strongly to a key level (the prior range's end) yet close
-    away from it, confirmed by the bars after."""
-    w = Window.partitionBy(*KEY).orderBy("bar")
-    prior = rows_back(KEY, "bar", back, current=False)
-    after = w.rowsBetween(1, confirm)
-    span = F.col("high") - F.col("low")
-    rd = ratio(F.col("delta"), F.col("qty"))
-    t = b.where("close is not null").withColumns({"prior_low": F.min("low").over(prior), "prior_high": F.max("high").over(prior), "rd": rd, "close_at": ratio(F.col("close") - F.col("low"), span), "after_low": F.min("low").over(after), "after_high": F.max("high").over(after), "after": F.count("*").over(after), "known_at": F.lead("bar", confirm).over(w)})
-    bull = (F.col("rd") <= -least) & (F.col("close_at") >= reject) & (F.col("low") <= F.col("prior_low")) & (F.col("after_low") >= F.col("low"))
-    bear = (F.col("rd") >= least) & (F.col("close_at") <= 1 - reject) & (F.col("high") >= F.col("prior_high")) & (F.col("after_high") <= F.col("high"))
-    hit = t.withColumn("direction", F.when(bull, 1).when(bear, -1)).where((F.col("direction").isNotNull()) & (F.col("after") == confirm))
-    score = clip01(0.35 * clip01(F.abs("rd")) + 0.35 * F.when(F.col("direction") == 1, F.col("close_at")).otherwise(1 - F.col("close_at")) + 0.3)
-    return hit.select(*KEY, "bar", "direction", "rd", "close_at", score.alias("score"), "known_at")
-
-
-def initiation(b: DataFrame, back: int = 24, hold: int = 2, z_least: float = 1.5, least: float = 0.2) -> DataFrame:
-    """Closes that leave the prior range with unusual delta and hold outside."""
-    w = Window.partitionBy(*KEY).orderBy("bar")
-    prior, after = rows_back(KEY, "bar", back, current=False), w.rowsBetween(1, hold)
-    z = zscore(F.col("delta"), rows_back(KEY, "bar", 60))
-    t = b.where("close is not null").withColumns({"prior_low": F.min("low").over(prior), "prior_high": F.max("high").over(prior), "rd": ratio(F.col("delta"), F.col("qty")), "z": z, "hold_low": F.min("close").over(after), "hold_high": F.max("close").over(after), "after": F.count("*").over(after), "known_at": F.lead("bar", hold).over(w)})
-    up = (F.col("close") > F.col("prior_high")) & (F.col("z") >= z_least) & (F.col("rd") >= least) & (F.col("hold_low") > F.col("prior_high"))
-    down = (F.col("close") < F.col("prior_low")) & (F.col("z") <= -z_least) & (F.col("rd") <= -least) & (F.col("hold_high") < F.col("prior_low"))
-    return t.withColumn("direction", F.when(up, 1).when(down, -1)).where((F.col("direction").isNotNull()) & (F.col("after") == hold)).select(*KEY, "bar", "direction", "z", "rd", "known_at")
+def event_rows(on: DataFrame, p: DataFrame, minutes: int = 1, tick: float = 0.01, stack: int = 3) -> DataFrame:
+    """Futures bars beside the spot bar of their time: prices from the last one
+    where nothing traded; the point of control, value area and VWAP of the last
+    bar that has them; imbalances of `stack` ticks. p: the bars' profile in ticks of
+    `tick`, by (symbol, market, bucket)."""
+    b = on.withColumnRenamed("minute", "bar") if minutes == 1 else bars(on, minutes)
+    b = b.withColumns({"last": F.col("close"), "rd": F.coalesce(ratio(F.col("delta"), F.col("qty")), F.lit(0.0)), "avwap": ratio(F.col("notional"), F.col("qty"))})
+    levels = key_levels(p, [*KEY, "bucket"], stack=stack).withColumnRenamed("bucket", "bar")
+    b = filled(b.join(levels, [*KEY, "bar"], "left"), ["last", "poc", "val", "vah", "avwap"], order="bar")
+    f = b.where("market = 'futures'")
+    f = f.withColumns({c: F.coalesce(c, "last") for c in ("open", "high", "low", "close")})
+    f = f.withColumns({c: F.coalesce(F.col(c) * tick, F.col(other)) for c, other in (("poc", "close"), ("val", "low"), ("vah", "high"))})
+    f = f.select("symbol", "bar", "open", "high", "low", "close", "delta", "rd", "poc", "val", "vah", "avwap", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("stacked_buy", "stacked_sell")])
+    s = b.where("market = 'spot'").select("symbol", "bar", F.col("rd").alias("spot_rd"), F.col("cvd").alias("spot_cvd"), (F.col("delta") * F.coalesce("last", F.lit(0.0))).alias("spot_push"))
+    return f.join(s, ["symbol", "bar"])
+
+
+def absorption(rows: DataFrame, minutes: int = 1, tick: float = 0.01, reject: float = 0.7, span: float = 4.0, least: float = 0.15, near: float = 6.0, confirm: int = 3, longest: int = 30, session: int = 1440, flow: float = 0.15, push: float = 100_000.0) -> DataFrame:
+    """Of event_rows: bars that trade against stacked imbalances near a key
+    level (point of control, value area, VWAP, extremes of `session` bars
+    before) and close away from it. Neighbours of one direction are one event
+    of at most `longest` bars, confirmed by the first of `confirm` bars that
+    closes in its far half while none leaves it."""
+    width = F.make_dt_interval(mins=F.lit(minutes))
+    cut = around(rows, F.floor(minute_index("bar") / minutes), session, confirm)
+    w = Window.partitionBy("symbol", "_block").orderBy("bar")
+    before, after = w.rowsBetween(-session, -1), w.rowsBetween(1, confirm)
+    t = cut.withColumns({"top": F.max("high").over(before), "floor": F.min("low").over(before), "next": F.collect_list(F.struct("bar", "close", "low", "high", "spot_cvd", "spot_push")).over(after)}).where("_own")
+    range_ = F.greatest(F.col("high") - F.col("low"), F.lit(0.0))
+    keys = [F.col("vah"), F.col("val"), F.col("poc"), F.col("avwap"), F.coalesce("top", "vah"), F.coalesce("floor", "val")]
+    distance = lambda c: F.least(*[F.abs(F.col(c) - k) / tick for k in keys])
+    t = t.withColumns({"up": (F.col("close") - F.col("low")) / (range_ + 1e-12), "down": (F.col("high") - F.col("close")) / (range_ + 1e-12), "d_low": distance("low"), "d_high": distance("high")})
+    wide = F.round(range_ / tick, 6) >= span
+    bull = F.col("stacked_sell") & wide & (F.col("rd") <= -least) & (F.col("close") > F.col("open")) & (F.round("up", 9) >= reject) & (F.round("d_low", 6) <= near)
+    bear = F.col("stacked_buy") & wide & (F.col("rd") >= least) & (F.col("close") < F.col("open")) & (F.round("down", 9) >= reject) & (F.round("d_high", 6) <= near)
+    t = t.withColumn("direction", F.when(bull & ~bear, 1).when(bear & ~bull, -1)).where("direction is not null")
+    # only candidates of a series meet from here on
+    place = F.floor(minute_index("bar") / minutes)
+    t = t.withColumn("run", place - F.row_number().over(Window.partitionBy("symbol", "direction").orderBy("bar")))
+    t = t.withColumn("piece", F.floor((F.row_number().over(Window.partitionBy("symbol", "direction", "run").orderBy("bar")) - 1) / longest))
+    bullish = F.col("direction") == 1
+    mean = lambda c: F.avg(c)
+    g = t.groupBy("symbol", "direction", "run", "piece").agg(
+        F.min("bar").alias("from_bar"),
+        F.max("bar").alias("to_bar"),
+        F.count("*").alias("n"),
+        F.min("low").alias("price_low"),
+        F.max("high").alias("price_high"),
+        F.sum("delta").alias("delta_sum"),
+        mean("rd").alias("rd_mean"),
+        mean(F.when(bullish, F.col("up")).otherwise(F.col("down"))).alias("reject"),
+        F.min(F.when(bullish, F.col("d_low")).otherwise(F.col("d_high"))).alias("key_distance"),
+        F.max("stacked_buy").alias("stacked_buy"),
+        F.max("stacked_sell").alias("stacked_sell"),
+        mean("spot_rd").alias("spot_rd_mean"),
+        F.sum("spot_push").alias("pushed"),
+        F.max_by("spot_cvd", "bar").alias("cvd"),
+        F.max_by("next", "bar").alias("next"),
+    ).where(F.size("next") == confirm)
+    half = 0.5 * F.greatest(F.col("price_high") - F.col("price_low"), F.lit(tick))
+    # a billionth of a tick more: bounds are sums of prices
+    slack = tick * (1 + 1e-9)
+    held = F.when(bullish, F.array_min(F.transform("next", lambda x: x["low"])) >= F.col("price_low") - slack).otherwise(F.array_max(F.transform("next", lambda x: x["high"])) <= F.col("price_high") + slack)
+    back = lambda x: F.when(bullish, x["close"] >= F.col("price_low") + half).otherwise(x["close"] <= F.col("price_high") - half)
+    g = g.withColumn("j", F.array_position(F.transform("next", back), True).cast("int")).where(held & (F.col("j") > 0))
+    confirmed = F.element_at("next", F.col("j"))
+    g = g.withColumns({"confirm_at": confirmed["bar"] + width, "spot_cvd_change": confirmed["spot_cvd"] - F.col("cvd"), "spot_push": F.col("pushed") + F.aggregate(F.slice("next", F.lit(1), F.col("j")), F.lit(0.0), lambda a, x: a + x["spot_push"])})
+    base = 0.35 * clip01(F.abs("rd_mean") / 0.5) + 0.35 * clip01((F.col("reject") - reject) / (1 - reject)) + 0.2 * clip01(1 - F.col("key_distance") / near) + 0.1 * clip01(F.col("n") / 5)
+    g = g.withColumns({"score_base": base, "spot_flow": clip01(F.col("direction") * F.col("spot_rd_mean") / flow), "spot_whale": clip01(F.col("direction") * F.col("spot_push") / push)})
+    score = 0.85 * F.col("score_base") + 0.1 * F.col("spot_flow") + 0.05 * F.col("spot_whale")
+    return g.select("symbol", "direction", "from_bar", (F.col("to_bar") + width).alias("to_at"), "confirm_at", F.when(bullish, F.col("price_low")).otherwise(F.col("price_high")).alias("pivot"), "price_low", "price_high", "delta_sum", "rd_mean", "reject", "key_distance", "stacked_buy", "stacked_sell", "spot_rd_mean", "spot_cvd_change", "spot_flow", "spot_whale", "score_base", score.alias("score"))
+
+
+def initiation(rows: DataFrame, minutes: int = 1, tick: float = 0.01, z_least: float = 1.5, least: float = 0.2, location: float = 0.7, back: int = 60, hold: int = 5, breaks: float = 2.0, holds: float = 1.0) -> DataFrame:
+    """Of event_rows: the first close beyond the value area by `breaks` ticks,
+    with unusual and one-sided delta, stacked imbalances of its side and a
+    close near its end, that `hold` bars' closes and their delta keep."""
+    cut = around(rows, F.floor(minute_index("bar") / minutes), back, hold)
+    w = Window.partitionBy("symbol", "_block").orderBy("bar")
+    last, after, event = w.rowsBetween(-(back - 1), 0), w.rowsBetween(1, hold), w.rowsBetween(0, hold)
+    t = cut.withColumns(
+        {
+            "z": F.when(F.count("delta").over(last) >= back, (F.col("delta") - F.avg("delta").over(last)) / (F.stddev_pop("delta").over(last) + 1e-12)),
+            "from_close": F.lag("close").over(w),
+            "from_vah": F.lag("vah").over(w),
+            "from_val": F.lag("val").over(w),
+            "held": F.count("*").over(after),
+            "least_close": F.min("close").over(after),
+            "most_close": F.max("close").over(after),
+            "delta_sum": F.sum("delta").over(event),
+            "rd_mean": F.avg("rd").over(event),
+            "price_low": F.min("low").over(event),
+            "price_high": F.max("high").over(event),
+            "spot_rd_mean": F.avg("spot_rd").over(event),
+            "spot_cvd_change": F.last("spot_cvd").over(event) - F.col("spot_cvd"),
+            "pushed": F.sum("spot_push").over(event),
+        }
+    ).where(F.col("_own") & (F.col("held") == hold))
+    width = F.greatest(F.col("high") - F.col("low"), F.lit(tick)) + 1e-12
+    out, keep = breaks * tick, holds * tick
+    above = (F.col("close") > F.col("vah") + out) & (F.col("from_close") <= F.col("from_vah") + out)
+    below = (F.col("close") < F.col("val") - out) & (F.col("from_close") >= F.col("from_val") - out)
+    up = above & (F.col("z") >= z_least) & (F.col("rd") >= least) & F.col("stacked_buy") & ((F.col("close") - F.col("low")) / width >= location)
+    down = below & (F.col("z") <= -z_least) & (F.col("rd") <= -least) & F.col("stacked_sell") & ((F.col("high") - F.col("close")) / width >= location)
+    up_holds = (F.col("least_close") >= F.col("vah") - keep) & (F.col("delta_sum") > 0)
+    down_holds = (F.col("most_close") <= F.col("val") + keep) & (F.col("delta_sum") < 0)
+    t = t.withColumn("direction", F.when(up & ~down & up_holds, 1).when(down & ~up & down_holds, -1)).where("direction is not null")
+    bullish = F.col("direction") == 1
+    t = t.withColumns(
+        {
+            "pivot": F.when(bullish, F.col("vah")).otherwise(F.col("val")),
+            "adverse": F.greatest(F.when(bullish, F.col("vah") - F.col("price_low")).otherwise(F.col("price_high") - F.col("val")), F.lit(0.0)) / tick,
+            "spot_whale": F.col("direction") * F.col("pushed") > 0,
+        }
+    )
+    t = t.withColumn("break_ticks", F.col("direction") * (F.col("close") - F.col("pivot")) / tick)
+    base = 0.3 * clip01(F.abs("z") / 3) + 0.3 * clip01(F.abs("rd_mean") / 0.5) + 0.2 * clip01(F.col("break_ticks") / 6) + 0.2
+    score = 0.8 * base + 0.15 * clip01(F.col("direction") * F.col("spot_rd_mean")) + 0.05 * F.col("spot_whale").cast("int")
+    spot = (F.col("direction") * F.col("spot_rd_mean") >= 0.05) & (F.col("direction") * F.col("spot_cvd_change") >= 0)
+    return t.select("symbol", "direction", "bar", (F.col("bar") + F.make_dt_interval(mins=F.lit((hold + 1) * minutes))).alias("confirm_at"), "pivot", "price_low", "price_high", "z", "rd_mean", "break_ticks", "delta_sum", "adverse", spot.alias("spot_break"), "spot_rd_mean", "spot_cvd_change", "spot_whale", score.alias("score"))
 
 
 def funding(points: DataFrame, minutes: int = 1440) -> DataFrame:

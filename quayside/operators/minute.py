@@ -8,6 +8,8 @@ needs a whole series; only one row a day of it meets in a task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,50 @@ def in_blocks(rows: DataFrame, index: Column, reach: int, length: int = 1440) ->
     return at.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == F.col("_own_block")).drop("_own_block")
 
 
+def around(rows: DataFrame, index: Column, back: int, ahead: int, length: int = 1440) -> DataFrame:
+    """rows with `_block`, of `length` indexes, and `_own`: each block also
+    holds the `back` indexes before it and the `ahead` ones after, not own."""
+    at = rows.withColumn("_i", index.cast("long"))
+    blocks = F.sequence(F.floor((F.col("_i") - ahead) / length), F.floor((F.col("_i") + back) / length))
+    return at.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == F.floor(F.col("_i") / length)).drop("_i")
+
+
+def filled(rows: DataFrame, columns: list[str], keys: list[str] = KEY, order: str = "minute") -> DataFrame:
+    """Nulls of `columns` take the last value before them. A day of a series
+    meets in a task, and one row a day of all of it."""
+    rows = rows.withColumn("_day", day_of(order))
+    days = rows.groupBy(*keys, "_day").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_last_{c}") for c in columns])
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, "_day", *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_from_{c}") for c in columns])
+    run = Window.partitionBy(*keys, "_day").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(days, [*keys, "_day"]).withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(run), F.col(f"_from_{c}")) for c in columns}).drop("_day", *[f"_from_{c}" for c in columns])
+
+
+def emas(rows: DataFrame, index: Column, value: str, periods: dict[str, int], keys: list[str] = KEY, order: str = "minute") -> DataFrame:
+    """Exponential means {name: period of 2 or more}, alpha 2 / (period + 1),
+    seeded with the first value. value: never null; index: at most one row
+    each. A block's rows are weighted sums of their own; what comes in decays
+    with their count. One row a block of a series is folded in one task."""
+    keep = {name: 1 - 2 / (p + 1) for name, p in periods.items()}
+    length = min(1440, *(int(500 / -math.log(k)) for k in keep.values()))
+    run = Window.partitionBy(*keys, "_block").orderBy(order)
+    at = rows.withColumn("_block", F.floor(index / length)).withColumn("_k", F.row_number().over(run))
+    upto = run.rowsBetween(Window.unboundedPreceding, 0)
+    own = {name: F.pow(F.lit(k), F.col("_k")) * F.sum(F.col(value) * (1 - k) * F.pow(F.lit(k), -F.col("_k"))).over(upto) for name, k in keep.items()}
+    at = at.withColumns(own)
+    ends = at.groupBy(*keys, "_block").agg(F.max("_k").alias("n"), F.min_by(value, "_k").alias("first"), *[F.max_by(name, "_k").alias(name) for name in keep])
+    series = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "n", "first", *keep))).alias("s"))
+
+    def carry(name: str, k: float) -> Column:
+        step = lambda acc, x: F.concat(acc, F.array(F.pow(F.lit(k), x["n"]) * F.element_at(acc, -1) + x[name]))
+        return F.slice(F.aggregate("s", F.array(F.get("s", F.lit(0))["first"]), step), 1, F.size("s"))
+
+    series = series.select(*keys, F.transform("s", lambda x: x["_block"]).alias("_block"), *[carry(name, k).alias(f"_in_{name}") for name, k in keep.items()])
+    ins = [f"_in_{name}" for name in keep]
+    blocks = series.select(*keys, F.explode(F.arrays_zip("_block", *ins)).alias("r")).select(*keys, "r.*")
+    return at.join(blocks, [*keys, "_block"]).withColumns({name: F.col(name) + F.pow(F.lit(k), F.col("_k")) * F.col(f"_in_{name}") for name, k in keep.items()}).drop("_block", "_k", *ins)
+
+
 def history(minutes: DataFrame) -> DataFrame:
     """Minutes on the spine: empty ones have zero quantities and null prices;
     delta, relative delta, running CVD, per-minute VWAP, last price."""

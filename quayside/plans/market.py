@@ -186,13 +186,28 @@ def volume_pulse(spark, sf_dir):
     return told(v.select(*KEY, "minute", "volume", (F.round(F.col("z") + 1e-7, 4) + F.lit(0.0)).alias("z")))
 
 
+def _frame_sql(code: str) -> str:
+    n, step = ind.WINDOWS[code], lambda p: f"e.{p[0]} * (1 - 2.0::DOUBLE / {p[1] + 1}) + n.price * (2.0::DOUBLE / {p[1] + 1})"
+    return f"""b{code} AS (SELECT symbol, market, bar, price, row_number() OVER (PARTITION BY symbol, market ORDER BY bar) AS i FROM (SELECT symbol, market, time_bucket(INTERVAL {n} MINUTE, minute, TIMESTAMP '1970-01-01') AS bar, arg_max(price, minute) AS price FROM m GROUP BY ALL)),
+    e{code} AS (SELECT symbol, market, bar, i, price AS fast, price AS slow FROM b{code} WHERE i = 1 UNION ALL SELECT n.symbol, n.market, n.bar, n.i, {step(('fast', 100))}, {step(('slow', 200))} FROM e{code} e JOIN b{code} n ON n.symbol = e.symbol AND n.market = e.market AND n.i = e.i + 1),
+    t{code} AS (SELECT symbol, market, bar + INTERVAL {n} MINUTE AS until, fast, slow, CASE WHEN fast > slow THEN 'bull' WHEN fast < slow THEN 'bear' ELSE 'neutral' END AS trend FROM e{code})"""
+
+
+def _base_sql(p: int) -> str:
+    return f"sum(pow(1 - 2.0::DOUBLE / {p + 1}, k) * CASE WHEN m.i = 1 THEN 1 ELSE 2.0::DOUBLE / {p + 1} END * m.price) AS ema_{p}"
+
+
+# minutes more than 700 back weigh less than 1e-17 together
 @query(
-    f"""WITH RECURSIVE {HISTORY}, {bar_sql(1440)}, n AS (SELECT symbol, market, bar, close, row_number() OVER (PARTITION BY symbol, market ORDER BY bar) AS i FROM bars WHERE close IS NOT NULL),
-    e AS (SELECT symbol, market, bar, close, i, close AS fast, close AS slow FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.market, n.bar, n.close, n.i, e.fast * (1 - 2.0::DOUBLE / 14) + n.close * (2.0::DOUBLE / 14), e.slow * (1 - 2.0::DOUBLE / 35) + n.close * (2.0::DOUBLE / 35) FROM e JOIN n ON n.symbol = e.symbol AND n.market = e.market AND n.i = e.i + 1)
-    SELECT symbol, market, {T.format('bar')} AS bar, {R('fast')} AS fast, {R('slow')} AS slow, CASE WHEN close > fast AND fast > slow THEN 'bull' WHEN close < fast AND fast < slow THEN 'bear' ELSE 'neutral' END AS regime FROM e"""
+    f"""WITH RECURSIVE {HISTORY}, m AS (SELECT symbol, market, minute, coalesce(close, last_price) AS price, row_number() OVER (PARTITION BY symbol, market ORDER BY minute) AS i FROM history),
+    a AS (SELECT *, unnest(generate_series(0, 700)) AS k FROM m WHERE (epoch(minute)::BIGINT // 60 + 1) % 15 = 0),
+    x AS (SELECT a.symbol, a.market, a.minute + INTERVAL 1 MINUTE AS at, {_base_sql(13)}, {_base_sql(21)}, {_base_sql(34)} FROM a JOIN m ON m.symbol = a.symbol AND m.market = a.market AND m.i = a.i - a.k GROUP BY ALL), {_frame_sql('4h')}, {_frame_sql('1d')}
+    SELECT x.symbol, x.market, {T.format('x.at')} AS at, {R('ema_13')} AS ema_13, {R('ema_21')} AS ema_21, {R('ema_34')} AS ema_34, {R('least(ema_13, ema_21, ema_34)')} AS band_low, {R('greatest(ema_13, ema_21, ema_34)')} AS band_high,
+    {R('h.fast')} AS fast_4h, {R('h.slow')} AS slow_4h, coalesce(h.trend, 'neutral') AS trend_4h, {R('d.fast')} AS fast_1d, {R('d.slow')} AS slow_1d, coalesce(d.trend, 'neutral') AS trend_1d, CASE WHEN h.trend = d.trend THEN h.trend ELSE 'neutral' END AS regime
+    FROM x LEFT JOIN t4h h ON h.symbol = x.symbol AND h.market = x.market AND h.until = time_bucket(INTERVAL 240 MINUTE, x.at, TIMESTAMP '1970-01-01') LEFT JOIN t1d d ON d.symbol = x.symbol AND d.market = x.market AND d.until = time_bucket(INTERVAL 1440 MINUTE, x.at, TIMESTAMP '1970-01-01')"""
 )
 def ema_regime(spark, sf_dir):
-    return told(ind.ema_regime(mn.bars(history_of(spark, sf_dir), 1440)).select(*KEY, "bar", "fast", "slow", "regime"))
+    return told(ind.ema_regime(history_of(spark, sf_dir)))
 
 
 def _gap_sql(minutes: int) -> str:
@@ -255,7 +270,19 @@ def volume_profile(spark, sf_dir):
     return told(ind.profile_ranks(mn.profile(src.trades(spark, sf_dir), 1440), [*KEY, "bucket"], 5).select(*KEY, "bucket", "tick", "volume", "rank", "is_poc", "share"))
 
 
-@query()
+def _area_sql(profile: str, keys: list[str]) -> str:
+    """CTEs av and area (keys, poc, val, vah) over a profile's traded ticks."""
+    k = ", ".join(keys)
+    on = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in keys)
+    rise = "u.i IS NOT NULL AND CASE WHEN u.tick = h.tick + 1 THEN u.v ELSE 0 END >= CASE WHEN d.tick = l.tick - 1 THEN d.v ELSE 0 END"
+    return f"""av AS (SELECT {k}, tick, buy_qty + sell_qty AS v, row_number() OVER (PARTITION BY {k} ORDER BY tick) AS i, row_number() OVER (PARTITION BY {k} ORDER BY buy_qty + sell_qty DESC, tick DESC) AS r, sum(buy_qty + sell_qty) OVER (PARTITION BY {k}) AS total FROM {profile} WHERE buy_qty + sell_qty > 0),
+    grown AS (SELECT {k}, tick AS poc, i AS lo, i AS hi, v AS got, total FROM av WHERE r = 1 UNION ALL SELECT {', '.join(f'a.{c}' for c in keys)}, a.poc, CASE WHEN {rise} THEN a.lo ELSE a.lo - 1 END, CASE WHEN {rise} THEN a.hi + 1 ELSE a.hi END, a.got + CASE WHEN {rise} THEN u.v ELSE d.v END, a.total
+      FROM grown a JOIN av h ON {on('h', 'a')} AND h.i = a.hi JOIN av l ON {on('l', 'a')} AND l.i = a.lo LEFT JOIN av u ON {on('u', 'a')} AND u.i = a.hi + 1 LEFT JOIN av d ON {on('d', 'a')} AND d.i = a.lo - 1 WHERE a.got < 0.7::DOUBLE * a.total AND (u.i IS NOT NULL OR d.i IS NOT NULL)),
+    ends_ AS (SELECT {k}, any_value(poc) AS poc, min(lo) AS lo, max(hi) AS hi FROM grown GROUP BY {k}),
+    area AS (SELECT {', '.join(f'e.{c}' for c in keys)}, e.poc, l.tick AS val, h.tick AS vah FROM ends_ e JOIN av l ON {on('l', 'e')} AND l.i = e.lo JOIN av h ON {on('h', 'e')} AND h.i = e.hi)"""
+
+
+@query(PROFILE.replace("\ntrades", "WITH RECURSIVE trades", 1) + f", {_area_sql('profile', KEY)} SELECT * FROM area")
 def value_area(spark, sf_dir):
     return ind.value_area(unit_profile(spark, sf_dir), KEY)
 
@@ -308,22 +335,60 @@ def divergences(spark, sf_dir):
     return told(ind.divergences(hour_bars(spark, sf_dir)).select(*KEY, "bar", "kind", "price_move", "flow_z"))
 
 
+#: Bars and ticks of the two event queries, whose stacks are two ticks: these tables
+#: trade too seldom for stacks of three in a minute's ticks of 0.01.
+COARSE = {"minutes": 120, "tick": 50.0}
+
+
+def coarse_rows(spark, sf_dir) -> DataFrame:
+    p = mn.profile(src.trades(spark, sf_dir).withColumn("price", F.floor(F.col("price") / COARSE["tick"]) / 100), COARSE["minutes"])
+    return ind.event_rows(history_of(spark, sf_dir), p, **COARSE, stack=2)
+
+
+def _stack_sql(name: str, own: str, side: str, other: str, move: int) -> str:
+    return f"""{name} AS (SELECT DISTINCT symbol, market, bar FROM (SELECT symbol, market, bar, tick - row_number() OVER (PARTITION BY symbol, market, bar ORDER BY tick) AS run FROM (SELECT *, CASE WHEN {side}(tick) OVER w = tick + {move} THEN {side}({other}) OVER w ELSE 0 END AS beside FROM profile WINDOW w AS (PARTITION BY symbol, market, bar ORDER BY tick)) WHERE {own} > 0 AND {own} / (beside + 1e-12) >= 3) GROUP BY symbol, market, bar, run HAVING count(*) >= 2)"""
+
+
+EVENT_ROWS = f"""WITH RECURSIVE {HISTORY}, {bar_sql(120)}, profile AS (SELECT symbol, market, time_bucket(INTERVAL 120 MINUTE, ts, TIMESTAMP '1970-01-01') AS bar, floor(price / 50)::BIGINT AS tick, sum(CASE WHEN side >= 0 THEN qty ELSE 0 END) AS buy_qty, sum(CASE WHEN side < 0 THEN qty ELSE 0 END) AS sell_qty FROM trades GROUP BY ALL),
+    {_area_sql('profile', [*KEY, 'bar'])}, {_stack_sql('sb', 'buy_qty', 'lag', 'sell_qty', -1)}, {_stack_sql('ss', 'sell_qty', 'lead', 'buy_qty', 1)},
+    fl AS (SELECT b.symbol, b.market, b.bar, b.open, b.high, b.low, b.close, b.delta, b.cvd, CASE WHEN b.qty > 1e-12 THEN b.delta / b.qty ELSE 0 END AS rd, last_value(b.close IGNORE NULLS) OVER w AS last, last_value(CASE WHEN b.qty > 1e-12 THEN b.notional / b.qty END IGNORE NULLS) OVER w AS avwap, last_value(a.poc IGNORE NULLS) OVER w AS poc, last_value(a.val IGNORE NULLS) OVER w AS val, last_value(a.vah IGNORE NULLS) OVER w AS vah, sb.bar IS NOT NULL AS stacked_buy, ss.bar IS NOT NULL AS stacked_sell
+      FROM bars b LEFT JOIN area a ON a.symbol = b.symbol AND a.market = b.market AND a.bar = b.bar LEFT JOIN sb ON sb.symbol = b.symbol AND sb.market = b.market AND sb.bar = b.bar LEFT JOIN ss ON ss.symbol = b.symbol AND ss.market = b.market AND ss.bar = b.bar WINDOW w AS (PARTITION BY b.symbol, b.market ORDER BY b.bar ROWS UNBOUNDED PRECEDING)),
+    er AS (SELECT f.symbol, f.bar, coalesce(f.open, f.last) AS open, coalesce(f.high, f.last) AS high, coalesce(f.low, f.last) AS low, coalesce(f.close, f.last) AS close, f.delta, f.rd, f.poc * 50.0::DOUBLE AS poc, f.val * 50.0::DOUBLE AS val, f.vah * 50.0::DOUBLE AS vah, f.avwap, f.stacked_buy, f.stacked_sell, s.rd AS spot_rd, s.cvd AS spot_cvd, s.delta * coalesce(s.last, 0) AS spot_push
+      FROM fl f JOIN fl s ON f.symbol = s.symbol AND f.bar = s.bar WHERE f.market = 'futures' AND s.market = 'spot')"""
+
+
 @query(
-    f"""WITH {HISTORY}, {bar_sql(60)}, t AS (SELECT *, min(low) OVER p AS pl, max(high) OVER p AS ph, delta / nullif(qty, 0) AS rd, CASE WHEN high - low > 1e-12 THEN (close - low) / (high - low) END AS ca, min(low) OVER a AS al, max(high) OVER a AS ah, count(*) OVER a AS n FROM bars WHERE close IS NOT NULL
-    WINDOW p AS (PARTITION BY symbol, market ORDER BY bar ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY symbol, market ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)), d AS (SELECT *, CASE WHEN rd <= -0.15 AND ca >= 0.6 AND low <= pl AND al >= low THEN 1 WHEN rd >= 0.15 AND ca <= 0.4 AND high >= ph AND ah <= high THEN -1 END AS direction FROM t)
-    SELECT symbol, market, {T.format('bar')} AS bar, direction::INTEGER AS direction, {R('rd')} AS rd, {R('ca')} AS close_at, {R('least(greatest(0.35 * least(abs(rd), 1) + 0.35 * CASE WHEN direction = 1 THEN ca ELSE 1 - ca END + 0.3, 0), 1)')} AS score FROM d WHERE direction IS NOT NULL AND n = 3"""
+    f"""{EVENT_ROWS}, t AS (SELECT *, row_number() OVER o AS place, (close - low) / (greatest(high - low, 0) + 1e-12) AS up, (high - close) / (greatest(high - low, 0) + 1e-12) AS down, max(high) OVER p AS top, min(low) OVER p AS base, list(struct_pack(bar := bar, close := close, low := low, high := high, cvd := spot_cvd, push := spot_push)) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS nexts
+      FROM er WINDOW o AS (PARTITION BY symbol ORDER BY bar), p AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1440 PRECEDING AND 1 PRECEDING)),
+    d AS (SELECT *, least(abs(low - vah), abs(low - val), abs(low - poc), abs(low - avwap), abs(low - coalesce(top, vah)), abs(low - coalesce(base, val))) / 50 AS d_low, least(abs(high - vah), abs(high - val), abs(high - poc), abs(high - avwap), abs(high - coalesce(top, vah)), abs(high - coalesce(base, val))) / 50 AS d_high FROM t),
+    c AS (SELECT *, stacked_sell AND (high - low) / 50 >= 2 AND rd <= -0.15 AND close > open AND up >= 0.7 AND d_low <= 6 AS bull, stacked_buy AND (high - low) / 50 >= 2 AND rd >= 0.15 AND close < open AND down >= 0.7 AND d_high <= 6 AS bear FROM d),
+    k AS (SELECT *, CASE WHEN bull THEN 1 ELSE -1 END AS direction FROM c WHERE bull <> bear), r AS (SELECT *, place - row_number() OVER (PARTITION BY symbol, direction ORDER BY bar) AS run FROM k), q AS (SELECT *, (row_number() OVER (PARTITION BY symbol, direction, run ORDER BY bar) - 1) // 30 AS piece FROM r),
+    g AS (SELECT symbol, direction, min(bar) AS from_bar, max(bar) AS to_bar, count(*) AS n, min(low) AS price_low, max(high) AS price_high, sum(delta) AS delta_sum, avg(rd) AS rd_mean, avg(CASE WHEN direction = 1 THEN up ELSE down END) AS reject, min(CASE WHEN direction = 1 THEN d_low ELSE d_high END) AS key_distance, bool_or(stacked_buy) AS stacked_buy, bool_or(stacked_sell) AS stacked_sell, avg(spot_rd) AS spot_rd_mean, sum(spot_push) AS pushed, arg_max(spot_cvd, bar) AS cvd, arg_max(nexts, bar) AS nexts FROM q GROUP BY symbol, direction, run, piece),
+    j AS (SELECT *, list_position(list_transform(nexts, lambda x: CASE WHEN direction = 1 THEN x.close >= price_low + 0.5 * greatest(price_high - price_low, 50) ELSE x.close <= price_high - 0.5 * greatest(price_high - price_low, 50) END), true) AS j FROM g WHERE len(nexts) = 3),
+    h AS (SELECT *, list_sum(list_transform(nexts[1:j], lambda x: x.push)) + pushed AS push FROM j WHERE j > 0 AND CASE WHEN direction = 1 THEN list_min(list_transform(nexts, lambda x: x.low)) >= price_low - 50 ELSE list_max(list_transform(nexts, lambda x: x.high)) <= price_high + 50 END),
+    z AS (SELECT *, 0.35 * least(abs(rd_mean) / 0.5, 1) + 0.35 * least(greatest((reject - 0.7) / 0.3, 0), 1) + 0.2 * least(greatest(1 - key_distance / 6, 0), 1) + 0.1 * least(n / 5, 1) AS score_base, least(greatest(direction * spot_rd_mean / 0.15, 0), 1) AS spot_flow, least(greatest(direction * push / 100000, 0), 1) AS spot_whale FROM h)
+    SELECT symbol, direction::INTEGER AS direction, {T.format('from_bar')} AS from_bar, {T.format('to_bar + INTERVAL 120 MINUTE')} AS to_at, {T.format('nexts[j].bar + INTERVAL 120 MINUTE')} AS confirm_at, {R('CASE WHEN direction = 1 THEN price_low ELSE price_high END')} AS pivot, {R('price_low')} AS price_low, {R('price_high')} AS price_high, {R('delta_sum')} AS delta_sum, {R('rd_mean')} AS rd_mean, {R('reject')} AS reject, {R('key_distance')} AS key_distance, stacked_buy, stacked_sell,
+    {R('spot_rd_mean')} AS spot_rd_mean, {R('nexts[j].cvd - cvd')} AS spot_cvd_change, {R('spot_flow')} AS spot_flow, {R('spot_whale')} AS spot_whale, {R('score_base')} AS score_base, {R('0.85 * score_base + 0.1 * spot_flow + 0.05 * spot_whale')} AS score FROM z"""
 )
 def absorption(spark, sf_dir):
-    return told(ind.absorption(hour_bars(spark, sf_dir)).select(*KEY, "bar", "direction", "rd", "close_at", "score"))
+    """All conditions, on bars of 2 hours, ticks of 50 and stacks of two, from two
+    ticks of range on."""
+    return told(ind.absorption(coarse_rows(spark, sf_dir), **COARSE, span=2.0))
 
 
 @query(
-    f"""WITH {HISTORY}, {bar_sql(60)}, t AS (SELECT *, min(low) OVER p AS pl, max(high) OVER p AS ph, delta / nullif(qty, 0) AS rd, CASE WHEN count(*) OVER s >= 5 THEN CASE WHEN stddev_pop(delta) OVER s <= 1e-12 THEN 0 ELSE (delta - avg(delta) OVER s) / stddev_pop(delta) OVER s END END AS z, min(close) OVER a AS hl, max(close) OVER a AS hh, count(*) OVER a AS n FROM bars WHERE close IS NOT NULL
-    WINDOW p AS (PARTITION BY symbol, market ORDER BY bar ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), s AS (PARTITION BY symbol, market ORDER BY bar ROWS 59 PRECEDING), a AS (PARTITION BY symbol, market ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING)), d AS (SELECT *, CASE WHEN close > ph AND z >= 0.3 AND rd >= 0.2 AND hl > ph THEN 1 WHEN close < pl AND z <= -0.3 AND rd <= -0.2 AND hh < pl THEN -1 END AS direction FROM t)
-    SELECT symbol, market, {T.format('bar')} AS bar, direction::INTEGER AS direction, {R('z')} AS z, {R('rd')} AS rd FROM d WHERE direction IS NOT NULL AND n = 1"""
+    f"""{EVENT_ROWS}, t AS (SELECT *, CASE WHEN count(*) OVER l >= 20 THEN (delta - avg(delta) OVER l) / (stddev_pop(delta) OVER l + 1e-12) END AS z, lag(close) OVER o AS c0, lag(vah) OVER o AS vah0, lag(val) OVER o AS val0, count(*) OVER a AS held, min(close) OVER a AS lc, max(close) OVER a AS mc, sum(delta) OVER e AS delta_sum, avg(rd) OVER e AS rd_mean, min(low) OVER e AS price_low, max(high) OVER e AS price_high, avg(spot_rd) OVER e AS spot_rd_mean, last_value(spot_cvd) OVER e - spot_cvd AS spot_cvd_change, sum(spot_push) OVER e AS pushed
+      FROM er WINDOW o AS (PARTITION BY symbol ORDER BY bar), l AS (PARTITION BY symbol ORDER BY bar ROWS 19 PRECEDING), a AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), e AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+    c AS (SELECT *, close > vah AND c0 <= vah0 AND z >= 0.3 AND rd >= 0.2 AND (close - low) / (greatest(high - low, 50) + 1e-12) >= 0.7 AS up, close < val AND c0 >= val0 AND z <= -0.3 AND rd <= -0.2 AND (high - close) / (greatest(high - low, 50) + 1e-12) >= 0.7 AS down FROM t WHERE held = 2),
+    d AS (SELECT *, CASE WHEN up AND NOT down AND stacked_buy AND lc >= vah - 200 AND delta_sum > 0 THEN 1 WHEN down AND NOT up AND stacked_sell AND mc <= val + 200 AND delta_sum < 0 THEN -1 END AS direction FROM c),
+    p AS (SELECT *, CASE WHEN direction = 1 THEN vah ELSE val END AS edge, direction * pushed > 0 AS spot_whale FROM d WHERE direction IS NOT NULL)
+    SELECT symbol, direction::INTEGER AS direction, {T.format('bar')} AS bar, {T.format('bar + INTERVAL 360 MINUTE')} AS confirm_at, {R('edge')} AS pivot, {R('price_low')} AS price_low, {R('price_high')} AS price_high, {R('z')} AS z, {R('rd_mean')} AS rd_mean, {R('direction * (close - edge) / 50')} AS break_ticks, {R('delta_sum')} AS delta_sum, {R('greatest(CASE WHEN direction = 1 THEN vah - price_low ELSE price_high - val END, 0) / 50')} AS adverse,
+    direction * spot_rd_mean >= 0.05 AND direction * spot_cvd_change >= 0 AS spot_break, {R('spot_rd_mean')} AS spot_rd_mean, {R('spot_cvd_change')} AS spot_cvd_change, spot_whale, {R('0.8 * (0.3 * least(abs(z) / 3, 1) + 0.3 * least(abs(rd_mean) / 0.5, 1) + 0.2 * least(greatest(direction * (close - edge) / 50 / 6, 0), 1) + 0.2) + 0.15 * least(greatest(direction * spot_rd_mean, 0), 1) + 0.05 * spot_whale::INT')} AS score FROM p"""
 )
 def initiation(spark, sf_dir):
-    return told(ind.initiation(hour_bars(spark, sf_dir), back=4, hold=1, z_least=0.3).select(*KEY, "bar", "direction", "z", "rd"))
+    """All conditions, on bars of 2 hours, ticks of 50 and stacks of two, with
+    lower bounds than the operator's own, which no bar of these tables meets."""
+    return told(ind.initiation(coarse_rows(spark, sf_dir), **COARSE, z_least=0.3, back=20, hold=2, breaks=0.0, holds=4.0))
 
 
 LIQ = """orders_ AS (SELECT event_id AS order_id, 'S' || CAST(user_id % 4 AS VARCHAR) AS symbol, CASE WHEN event_id % 2 = 0 THEN 'futures' ELSE 'spot' END AS market, ts, value AS price, value * (coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) + 1) AS notional, CASE WHEN user_id % 2 = 0 THEN 'short_liq' ELSE 'long_liq' END AS liq_side FROM events WHERE event_type = 'error')"""
