@@ -84,7 +84,7 @@ def ema_regime(on: DataFrame, every: int = 15, frames: tuple[str, ...] = ("4h",
     """At every `every` minutes' end (`at`): EMAs of minute closes and their
     band; per frame the fast and slow EMA of the closes of its last closed bar,
     and its trend; the regime on which all frames agree. Untraded minutes close
-    at the last price."""
+    at the last price. EMAs within a trillionth of each other are even."""
     m = on.select(*KEY, "minute", F.coalesce("close", "last_price").alias("price")).where("price is not null")
     names = {f"ema_{p}": p for p in base}
     minute = F.expr("interval 1 minute")

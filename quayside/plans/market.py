@@ -190,7 +190,7 @@ def _frame_sql(code: str) -> str:
     n, step = ind.WINDOWS[code], lambda p: f"e.{p[0]} * (1 - 2.0::DOUBLE / {p[1] + 1}) + n.price * (2.0::DOUBLE / {p[1] + 1})"
     return f"""b{code} AS (SELECT symbol, market, bar, price, row_number() OVER (PARTITION BY symbol, market ORDER BY bar) AS i FROM (SELECT symbol, market, time_bucket(INTERVAL {n} MINUTE, minute, TIMESTAMP '1970-01-01') AS bar, arg_max(price, minute) AS price FROM m GROUP BY ALL)),
     e{code} AS (SELECT symbol, market, bar, i, price AS fast, price AS slow FROM b{code} WHERE i = 1 UNION ALL SELECT n.symbol, n.market, n.bar, n.i, {step(('fast', 100))}, {step(('slow', 200))} FROM e{code} e JOIN b{code} n ON n.symbol = e.symbol AND n.market = e.market AND n.i = e.i + 1),
-    t{code} AS (SELECT symbol, market, bar + INTERVAL {n} MINUTE AS until, fast, slow, CASE WHEN fast > slow THEN 'bull' WHEN fast < slow THEN 'bear' ELSE 'neutral' END AS trend FROM e{code})"""
+    t{code} AS (SELECT symbol, market, bar + INTERVAL {n} MINUTE AS until, fast, slow, CASE WHEN fast - slow > abs(slow) * 1e-12 THEN 'bull' WHEN slow - fast > abs(slow) * 1e-12 THEN 'bear' ELSE 'neutral' END AS trend FROM e{code})"""
 
 
 def _base_sql(p: int) -> str:
