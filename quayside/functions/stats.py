@@ -12,6 +12,11 @@ def ratio(a: Column, b: Column, least: float = 1e-12) -> Column:
     return F.when(F.abs(b) > least, a / b)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b by IEEE rules: infinite or NaN where b is 0, in ANSI mode too."""
+    return F.when(b != 0, a / b).otherwise(a * F.pow(b, F.lit(-1.0)))
+
+
 def direction(x: Column) -> Column:
     """+1 for zero and above, -1 below."""
     return F.when(x >= 0, 1).otherwise(-1)

@@ -35,7 +35,7 @@ def priced(spark, sf_dir):
 @query(f"WITH {LIVE}, r AS (SELECT *, min(low) OVER w AS lo, max(high) OVER w AS hi, notional / nullif(qty, 0) AS vw FROM b {DAY}), u AS (SELECT symbol, market, bar, close, 'day_low' AS ref, lo AS level FROM r UNION ALL SELECT symbol, market, bar, close, 'day_high', hi FROM r UNION ALL SELECT symbol, market, bar, close, 'vwap', vw FROM r) SELECT symbol, market, {T.format('bar')} AS bar, ref, {R('close - level')} AS diff, {R('100 * (close - level) / level')} AS pct FROM u")
 def price_anchors(spark, sf_dir):
     b = ranged(spark, sf_dir)
-    return told(red.anchors(b, {"day_low": F.col("lo"), "day_high": F.col("hi"), "vwap": F.col("notional") / F.col("qty")}, F.col("close")))
+    return told(red.anchors(b, {"day_low": F.col("lo"), "day_high": F.col("hi"), "vwap": F.col("notional") / F.nullif(F.col("qty"), F.lit(0.0))}, F.col("close")))
 
 
 @query(f"WITH {LIVE}, r AS (SELECT *, min(low) OVER w AS lo, max(high) OVER w AS hi FROM b {DAY}), p AS (SELECT symbol, market, bar, CASE WHEN close > lo + (hi - lo) * 0.75 THEN 1 WHEN close < lo + (hi - lo) * 0.25 THEN -1 ELSE 0 END AS place FROM r), s AS (SELECT *, min(place) OVER f = max(place) OVER f AS same, lag(place) OVER o AS before, count(*) OVER f AS seen FROM p WINDOW o AS ({OWN}), f AS ({OWN} ROWS 2 PRECEDING)) SELECT symbol, market, {T.format('bar')} AS bar, place, CASE WHEN place <> 0 AND same AND seen = 3 THEN 'accepted' WHEN place <> 0 THEN 'rejected' WHEN before <> 0 THEN 'reentered' ELSE 'inside' END AS state FROM s")

@@ -43,3 +43,22 @@ def test_same_as_sql(spark, duck, name):
 def test_every_query_runs(spark):
     for name in sorted(set(registry.QUERIES) - set(registry.ORACLES)):
         registry.QUERIES[name](spark, SF).limit(5).collect()
+
+
+@pytest.mark.parametrize(
+    "odd,pcts",
+    [
+        ("CASE WHEN event_id % 3 < 2 THEN 0.0 WHEN event_id % 2 = 0 THEN value ELSE -value END AS value", {"inf", "-inf", "nan", "None"}),
+        ("""CASE WHEN event_id % 3 < 2 THEN '{"k": -1}' ELSE props END AS props""", {"None"}),
+    ],
+)
+def test_price_anchors_from_references_of_zero(spark, tmp_path, odd, pcts):
+    """Prices of 0, and bars without units: NaN, infinite and null differ."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE ({odd}) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    told = c.execute(registry.ORACLES["price_anchors"])
+    names, want = [d[0] for d in told.description], told.fetchall()
+    got = [tuple(r) for r in registry.QUERIES["price_anchors"](spark, str(tmp_path)).select(*names).collect()]
+    assert pcts <= {repr(r[names.index("pct")]) for r in want}
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
